@@ -15,7 +15,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressionModel, LinearRegressionModel, RandomForestRegressionModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabloom.errors import DataError, EvaluationError, ModelError
@@ -445,7 +445,9 @@ def train_model(
 def leaderboard(scores: DataFrame, task: str) -> DataFrame:
     """Models by accuracy or R², best first, from rows ``(model, <metrics>)``."""
     primary = "accuracy" if task == "classification" else "r2"
-    return scores.orderBy(F.desc_nulls_last(primary), "model")
+    order = [F.desc_nulls_last(primary), F.asc("model")]
+    # One row per model.
+    return scores.withColumn("rank", F.row_number().over(Window.orderBy(*order))).orderBy("rank")
 
 
 def compare_models(
