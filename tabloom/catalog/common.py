@@ -88,7 +88,7 @@ SELECT l_returnflag AS actual,
 FROM {lineitem}
 """
 VALUE_SCORES = """
-SELECT l_extendedprice AS actual, l_quantity * 2100 AS prediction FROM {lineitem}
+SELECT l_extendedprice / 1000.0e0 AS actual, l_quantity * 2.1e0 AS prediction FROM {lineitem}
 """
 # Run records derived from orders; one metrics text in three is broken.
 RUN_RECORDS = """

@@ -165,7 +165,7 @@ def correlation_matrix(spark, d):
 
 _VARIANCES = stacked(
     [
-        f"SELECT '{c}' AS \"column\", round(var_samp(cast({c} AS double)), 4) AS variance FROM lineitem"
+        f"SELECT '{c}' AS \"column\", round(var_samp(cast({c} AS double)), 2) AS variance FROM lineitem"
         for c in NUMBERS
     ]
 )
@@ -173,7 +173,8 @@ _VARIANCES = stacked(
 
 @query("top_variance_columns", f"SELECT * FROM ({_VARIANCES}) ORDER BY variance DESC LIMIT 16")
 def top_variance_columns(spark, d):
-    return P.top_variance_columns(table(spark, d, "lineitem"))
+    top = P.top_variance_columns(table(spark, d, "lineitem"))
+    return top.withColumn("variance", F.round("variance", 2))
 
 
 def _histogram_sql(name, columns, source=None):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from tabloom.catalog.common import RUN_RECORDS, derived, duck, query, table
+from tabloom.catalog.common import RUN_RECORDS, VALUE_SCORES, derived, duck, query, table
 from tabloom.functions.storage import scratch_path
 from tabloom.operators import metrics as M
 from tabloom.plans import runs as R
@@ -95,13 +95,13 @@ def jsonl_roundtrip(spark, d):
 @query(
     "metrics_json",
     """
-WITH p AS (SELECT l_extendedprice AS a, l_quantity * 2100 AS b FROM lineitem)
+WITH p AS (SELECT l_extendedprice / 1000.0e0 AS a, l_quantity * 2.1e0 AS b FROM lineitem)
 SELECT round(avg(abs(a - b)), 4) AS mae, round(avg((a - b) * (a - b)), 4) AS mse,
        round(sqrt(avg((a - b) * (a - b))), 4) AS rmse,
        round(1 - avg((a - b) * (a - b)) / var_pop(a), 4) AS r2, 'lineitem' AS dataset FROM p""",
 )
 def metrics_json(spark, d):
-    scored = table(spark, d, "lineitem").selectExpr("l_extendedprice as actual", "l_quantity * 2100 as prediction")
+    scored = derived(spark, d, VALUE_SCORES)
     row = M.regression_metrics(scored, "actual", "prediction").withColumn("dataset", F.lit("lineitem"))
     path = save_document(row, scratch_path(spark, "metrics"))
     return load_table(spark, path, "jsonl").select(*row.columns)

@@ -137,10 +137,12 @@ def label_by_rank(
     """
     spark = df.sparkSession
     columns = df.columns
-    if not key:
-        df = staged(number_copies(df), "numbered")
-        key = df.columns
-    base = df.withColumn("_h", order_hash(key, seed))
+    if key:
+        base = df.withColumn("_h", order_hash(key, seed))
+    else:
+        # Numbering shuffles the table, so it is done once, and the digests are kept with it.
+        numbered = number_copies(df)
+        base = staged(numbered.withColumn("_h", order_hash(numbered.columns, seed)), "numbered")
     group = (col(by) if by else F.lit(0)).alias("_g")
     slim = base.select(group, "_h")
 

@@ -48,6 +48,16 @@ def staged(df: DataFrame, label: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core for costly row work on a frame that was read in fewer tasks than there are.
+
+    Only for frames without a shuffle of their own: asking for the number of tasks must not run
+    anything. A large table has tasks enough and passes through.
+    """
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Give iterative estimators a checkpoint folder unless the session has one."""
     if spark.sparkContext.getCheckpointDir() is None:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tabloom.errors import DataError, EvaluationError, ModelError
 from tabloom.functions.columns import col
-from tabloom.functions.storage import ensure_checkpoint_dir, staged
+from tabloom.functions.storage import ensure_checkpoint_dir, spread, staged
 from tabloom.operators.features import PreprocessorModel, fit_preprocessor
 from tabloom.operators.metrics import class_distribution, compute_metrics, default_scoring, residuals
 from tabloom.operators.split import holdout, kfold
@@ -151,7 +151,9 @@ def fit_model(
         )
     else:
         labelled = df.withColumn("_label", col(target).cast("double"))
-    matrix = pre.with_vector(labelled, "_features").select("_label", "_features").persist()
+    columns = [col(c) for c in ["_label", *pre.spec.feature_columns]]
+    matrix = pre.with_vector(spread(labelled.select(*columns)), "_features")
+    matrix = matrix.select("_label", "_features").persist()
     try:
         row = matrix.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("_label").alias("s")).first()
         if plan.task == "classification" and plan.algorithm == "gradient_boosting" and len(classes) > 2:
@@ -185,20 +187,25 @@ def _fit_one(plan, matrix, row, classes, seed):
 
 
 # --------------------------------------------------------------------------- evaluation
-def evaluate(model: FittedModel, df: DataFrame) -> dict[str, float]:
-    """Metrics of a model on labelled rows; labels unknown to it count as errors."""
+def evaluate(model: FittedModel, df: DataFrame, *, with_scores: bool = True) -> dict[str, float]:
+    """Metrics of a model on labelled rows; labels unknown to it count as errors.
+
+    ``with_scores=False`` leaves out the metrics that need class probabilities.
+    """
     if model.target not in df.columns:
         raise DataError(f"The dataset lacks the target column '{model.target}' of the model.")
-    scored = model.transform(df.where(col(model.target).isNotNull()))
+    needed = [col(c) for c in [model.target, *model.preprocessor.spec.feature_columns]]
+    scored = model.transform(spread(df.where(col(model.target).isNotNull()).select(*needed)))
     keep = [col(model.target).alias("actual"), col("prediction")]
-    keep += [col(c) for c in model.probability_columns.values()]
+    probabilities = model.probability_columns if with_scores else {}
+    keep += [col(c) for c in probabilities.values()]
     table = scored.select(*keep).persist()
     try:
         rows = compute_metrics(
             table,
             model.task,
             classes=model.classes,
-            probabilities=model.probability_columns or None,
+            probabilities=probabilities or None,
         ).collect()
         return {r["metric"]: r["value"] for r in rows}
     finally:
@@ -354,7 +361,8 @@ def prepare_data(
             kfold(train, folds=cv_folds, stratify=by_class, key=key, seed=seed, output="_fold"), "folds"
         )
         train = folded.drop("_fold")
-    counts = df.agg(F.count(F.lit(1)).alias("n"), F.count(col(target)).alias("p")).first()
+    n_train, n_validation = train.count(), validation.count()
+    absent = df.where(col(target).isNull()).count()
     return TrainingData(
         task=task,
         target=target,
@@ -363,9 +371,9 @@ def prepare_data(
         folded=folded,
         classes=class_list(train, target) if task == "classification" else None,
         exclude=[c for c in [id_column, *(drop_columns or [])] if c],
-        n_train=train.count(),
-        n_validation=validation.count(),
-        rows_without_target=counts["n"] - counts["p"],
+        n_train=n_train,
+        n_validation=n_validation,
+        rows_without_target=absent,
         seed=seed,
     )
 
@@ -397,7 +405,7 @@ def train_prepared(
     return TrainingResult(
         model=model,
         metrics=evaluate(model, data.validation),
-        train_metrics={k: v for k, v in evaluate(model, data.train).items() if k != "roc_auc"},
+        train_metrics=evaluate(model, data.train, with_scores=False),
         class_distribution=shares,
         cv_scores=cv_scores,
         feature_importance=feature_importance(model),
