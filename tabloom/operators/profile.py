@@ -206,12 +206,15 @@ def correlation_matrix(df: DataFrame) -> DataFrame:
     for i, a in enumerate(names):
         for b in names[i + 1 :]:
             cells += [F.lit(a), F.lit(b), number[a], number[b]]
+    # The built-in correlation raises for a column without variance; its parts do not.
+    x = F.when(F.col("y").isNotNull(), F.col("x"))
+    y = F.when(F.col("x").isNotNull(), F.col("y"))
     # One short aggregate over (pair, x, y) rows: as many aggregates side by side would outgrow
     # compiled code, and one scan serves all pairs.
     cross = (
         df.select(F.stack(F.lit(len(cells) // 4), *cells).alias("a", "b", "x", "y"))
         .groupBy("a", "b")
-        .agg(F.corr("x", "y").alias("r"))
+        .agg(F.try_divide(F.covar_pop("x", "y"), F.stddev_pop(x) * F.stddev_pop(y)).alias("r"))
     )
     itself = one_pass(
         df, {c: {"b": F.lit(c), "r": F.when(F.min(v) < F.max(v), 1.0)} for c, v in number.items()}, key="a"
