@@ -113,11 +113,11 @@ def regression_metrics(spark, d):
 
 @query(
     "residuals",
-    f"SELECT round(prediction, 4) AS predicted, round(actual - prediction, 4) AS residual FROM ({VALUES})",
+    f"SELECT round(prediction, 6) AS predicted, round(actual - prediction, 6) AS residual FROM ({VALUES})",
 )
 def residuals(spark, d):
     res = M.residuals(derived(spark, d, VALUE_SCORES), "actual", "prediction")
-    return res.select(F.round("predicted", 4).alias("predicted"), F.round("residual", 4).alias("residual"))
+    return res.select(F.round("predicted", 6).alias("predicted"), F.round("residual", 6).alias("residual"))
 
 
 @query(

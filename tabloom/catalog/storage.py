@@ -64,15 +64,23 @@ def csv_na_infer(spark, d):
     return load_table(spark, path, "csv")
 
 
-def _as_array(batches):
-    """Lines of one JSON array per task; records stream through batch by batch."""
-    first = True
-    for batch in batches:
-        head = pd.Series([","] * len(batch), index=batch.index)
-        if first and len(batch):
-            head.iloc[0], first = "[", False
-        yield pd.DataFrame({"value": head + batch["value"]})
-    yield pd.DataFrame({"value": ["[]" if first else "]"]})
+def _array_writer():
+    """Lines of one JSON array per task; records stream through batch by batch.
+
+    Made here rather than at module level, so that tasks get the function itself and need not
+    import this package.
+    """
+
+    def lines(batches):
+        first = True
+        for batch in batches:
+            head = pd.Series([","] * len(batch), index=batch.index)
+            if first and len(batch):
+                head.iloc[0], first = "[", False
+            yield pd.DataFrame({"value": head + batch["value"]})
+        yield pd.DataFrame({"value": ["[]" if first else "]"]})
+
+    return lines
 
 
 @query("json_roundtrip", f"SELECT {ORDER_COLUMNS} FROM orders")
@@ -81,7 +89,7 @@ def json_roundtrip(spark, d):
     path = scratch_path(spark, "json")
     df = _orders(spark, d)
     records = df.select(F.to_json(F.struct(*df.columns)).alias("value"))
-    records.mapInPandas(_as_array, "value string").write.text(path)
+    records.mapInPandas(_array_writer(), "value string").write.text(path)
     return load_table(spark, path, "json").select(*df.columns)
 
 

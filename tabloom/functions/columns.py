@@ -126,5 +126,8 @@ def clip(c: Column, low, high) -> Column:
     return F.when(c < F.lit(low), F.lit(low)).when(c > F.lit(high), F.lit(high)).otherwise(c)
 
 
-def literal(value, data_type: T.DataType) -> Column:
-    return F.lit(value).cast(data_type)
+def equal_width_bin(c: Column, low: float, high: float, bins: int) -> Column:
+    """Bin number from 0, the last bin closed; NULL stays NULL (``least`` alone would skip it)."""
+    place = F.floor((c - F.lit(low)) * bins / F.lit(high - low))
+    return F.when(place < bins, place).when(place.isNotNull(), bins - 1).cast("int")
+

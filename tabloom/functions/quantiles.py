@@ -66,7 +66,8 @@ def quantiles(
         result[c] = [] if counts[c] else [None] * len(probabilities)
         for x in places[c]:
             low, high = found[c, math.floor(x)], found[c, math.ceil(x)]
-            result[c].append(low if low == high else low + (high - low) * (x - math.floor(x)))
+            between = (math.ceil(x) - x) * low + (x - math.floor(x)) * high
+            result[c].append(low if low == high else between)
     return result
 
 

@@ -37,14 +37,16 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/tabloom-{label}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, label: str = "stage") -> DataFrame:
+def staged(df: DataFrame, label: str = "stage", *, parts: str | None = None) -> DataFrame:
     """Write a frame once and read it back.
 
     Used where several scans follow a shuffle. A written table survives lost executors, is not
-    held in memory, and later scans read only the columns they need.
+    held in memory, and later scans read only the columns they need. ``parts`` names the last
+    column, of few values, by which later scans pick rows: each value gets a folder.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    writer = df.write.partitionBy(parts) if parts else df.write
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

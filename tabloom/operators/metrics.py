@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabloom.errors import EvaluationError
-from tabloom.functions.columns import col, ratio, ratio_or_zero
+from tabloom.functions.columns import col, equal_width_bin, ratio, ratio_or_zero
 from tabloom.functions.longform import union_all
 from tabloom.functions.ordering import range_bounds, running_totals
 
@@ -270,8 +270,7 @@ def binned_residuals(df: DataFrame, actual: str, prediction: str, bins: int = 30
     if edge["lo"] is None or edge["lo"] == edge["hi"]:
         place = F.lit(0)
     else:
-        lo, width = float(edge["lo"]), float(edge["hi"] - edge["lo"])
-        place = F.least(F.floor((F.col("predicted") - lo) * bins / width), F.lit(bins - 1)).cast("int")
+        place = equal_width_bin(F.col("predicted"), float(edge["lo"]), float(edge["hi"]), bins)
     return res.groupBy(place.alias("bin")).agg(
         F.count(F.lit(1)).alias("n"),
         F.avg("predicted").alias("predicted"),

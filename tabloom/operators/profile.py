@@ -9,6 +9,7 @@ from tabloom.errors import EvaluationError
 from tabloom.functions.columns import (
     categorical_columns,
     col,
+    equal_width_bin,
     is_numeric,
     missing_count,
     numeric_columns,
@@ -273,10 +274,7 @@ def histograms(df: DataFrame, columns: list[str], bins: int = HISTOGRAM_BINS) ->
         return edges.withColumn("n", F.lit(0).cast("bigint"))
     binned = df.select(
         *[
-            F.least(
-                F.floor((col(c).cast("double") - F.lit(low)) * bins / F.lit(high - low)),
-                F.lit(bins - 1),
-            ).cast("int").alias(c)
+            equal_width_bin(col(c).cast("double"), low, high, bins).alias(c)
             for c, (low, high) in ranges.items()
         ]
     )

@@ -349,6 +349,7 @@ def prepare_data(
         parted = staged(
             holdout(usable, size=validation_size, stratify=by_class, key=key, seed=seed, output="_part"),
             "holdout",
+            parts="_part",
         )
         train = parted.where("_part = 'train'").drop("_part")
         validation = parted.where("_part = 'validation'").drop("_part")
@@ -358,7 +359,9 @@ def prepare_data(
     folded = None
     if cv_folds:
         folded = staged(
-            kfold(train, folds=cv_folds, stratify=by_class, key=key, seed=seed, output="_fold"), "folds"
+            kfold(train, folds=cv_folds, stratify=by_class, key=key, seed=seed, output="_fold"),
+            "folds",
+            parts="_fold",
         )
         train = folded.drop("_fold")
     n_train, n_validation = train.count(), validation.count()

@@ -35,8 +35,8 @@ def test_separator_ties_go_to_the_earlier_one():
 
 
 def test_wrong_first_separator_falls_back(spark, tmp_path):
-    # The header has more commas than bars, but with commas later rows are too long.
-    text = "x,y,z|b\n1,2,3,4|5\n"
+    # The header has more commas than semicolons, but with commas later rows are too long.
+    text = "x,y,z;b\n1,2,3,4;5\n"
     df = load_table(spark, write(tmp_path, "a.csv", text))
     assert df.columns == ["x,y,z", "b"] and rows(df) == [("1,2,3,4", 5)]
     with pytest.raises(DataError, match="not a table"):
