@@ -50,14 +50,20 @@ def staged(df: DataFrame, label: str = "stage", *, parts: str | None = None) ->
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core for costly row work on a frame that was read in fewer tasks than there are.
+def spread(df: DataFrame, rows: int, *, per_task: int = 20_000) -> DataFrame:
+    """Fit the number of tasks to costly or repeated work on ``rows`` rows.
 
+    A frame read in fewer tasks than there are cores is spread over them, and a tiny one is
+    gathered so that an iteration does not start a task per file. A large table passes through.
     Only for frames without a shuffle of their own: asking for the number of tasks must not run
-    anything. A large table has tasks enough and passes through.
+    anything.
     """
-    tasks = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
+    have = df.rdd.getNumPartitions()
+    want = max(1, rows // per_task)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if have < min(want, cores):
+        return df.repartition(min(want, cores))
+    return df.coalesce(want) if want < have else df
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:

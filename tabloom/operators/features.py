@@ -129,6 +129,7 @@ class PreprocessorModel:
     scale: dict[str, float]
     mode: dict[str, str]
     levels: dict[str, list[str]]
+    rows: int = 0  # fitted on
 
     # ------------------------------------------------------------------ names
     @property
@@ -268,4 +269,5 @@ def fit_preprocessor(
         scale=scale,
         mode=facts.modes,
         levels=facts.levels,
+        rows=facts.rows,
     )

@@ -24,7 +24,7 @@ from tabloom.functions.storage import ensure_checkpoint_dir, spread, staged
 from tabloom.operators.features import PreprocessorModel, fit_preprocessor
 from tabloom.operators.metrics import class_distribution, compute_metrics, default_scoring, residuals
 from tabloom.operators.split import holdout, kfold
-from tabloom.operators.validate import encode_labels, infer_task
+from tabloom.operators.validate import check_target, encode_labels
 from tabloom.plans.registry import ModelPlan, available_models, create_model
 
 MAX_CLASSES = 10_000
@@ -152,7 +152,7 @@ def fit_model(
     else:
         labelled = df.withColumn("_label", col(target).cast("double"))
     columns = [col(c) for c in ["_label", *pre.spec.feature_columns]]
-    matrix = pre.with_vector(spread(labelled.select(*columns)), "_features")
+    matrix = pre.with_vector(spread(labelled.select(*columns), pre.rows), "_features")
     matrix = matrix.select("_label", "_features").persist()
     try:
         row = matrix.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("_label").alias("s")).first()
@@ -187,15 +187,19 @@ def _fit_one(plan, matrix, row, classes, seed):
 
 
 # --------------------------------------------------------------------------- evaluation
-def evaluate(model: FittedModel, df: DataFrame, *, with_scores: bool = True) -> dict[str, float]:
+def evaluate(
+    model: FittedModel, df: DataFrame, *, with_scores: bool = True, rows: int | None = None
+) -> dict[str, float]:
     """Metrics of a model on labelled rows; labels unknown to it count as errors.
 
-    ``with_scores=False`` leaves out the metrics that need class probabilities.
+    ``with_scores=False`` leaves out the metrics that need class probabilities. ``rows``, where
+    the caller knows it, lets a small table use all cores.
     """
     if model.target not in df.columns:
         raise DataError(f"The dataset lacks the target column '{model.target}' of the model.")
     needed = [col(c) for c in [model.target, *model.preprocessor.spec.feature_columns]]
-    scored = model.transform(spread(df.where(col(model.target).isNotNull()).select(*needed)))
+    labelled = df.where(col(model.target).isNotNull()).select(*needed)
+    scored = model.transform(labelled if rows is None else spread(labelled, rows))
     keep = [col(model.target).alias("actual"), col("prediction")]
     probabilities = model.probability_columns if with_scores else {}
     keep += [col(c) for c in probabilities.values()]
@@ -290,7 +294,8 @@ def cross_validate(
             seed=seed,
             **feature_options,
         )
-        value = evaluate(model, df.where(col(fold) == i).drop(fold)).get(metric)
+        held = model.preprocessor.rows // (len(numbers) - 1)
+        value = evaluate(model, df.where(col(fold) == i).drop(fold), rows=held).get(metric)
         if value is None:
             raise EvaluationError(f"Scoring '{scoring}' does not apply to fold {i}.")
         scores.append(sign * value)
@@ -335,13 +340,16 @@ def prepare_data(
     stratify: bool = True,
     cv_folds: int = 5,
     seed: int = 42,
+    facts=None,
 ) -> TrainingData:
     """Hold-out and folds of a dataset, each written once.
 
     ``key`` names the columns that identify a row for the seeded parts; without it (or
-    ``id_column``) the whole row does. ``cv_folds=0`` leaves the folds out.
+    ``id_column``) the whole row does. ``cv_folds=0`` leaves the folds out. ``facts`` is the
+    target's profile row where the caller has it.
     """
-    task = task or infer_task(df, target)
+    facts = facts or check_target(df, target)
+    task = task or facts["task"]
     key = key or ([id_column] if id_column else None)
     by_class = target if stratify and task == "classification" else None
     usable = df.where(col(target).isNotNull())
@@ -354,7 +362,7 @@ def prepare_data(
         train = parted.where("_part = 'train'").drop("_part")
         validation = parted.where("_part = 'validation'").drop("_part")
     else:
-        infer_task(validation_df, target)
+        check_target(validation_df, target)
         train, validation = usable, validation_df.where(col(target).isNotNull())
     folded = None
     if cv_folds:
@@ -364,8 +372,6 @@ def prepare_data(
             parts="_fold",
         )
         train = folded.drop("_fold")
-    n_train, n_validation = train.count(), validation.count()
-    absent = df.where(col(target).isNull()).count()
     return TrainingData(
         task=task,
         target=target,
@@ -374,9 +380,9 @@ def prepare_data(
         folded=folded,
         classes=class_list(train, target) if task == "classification" else None,
         exclude=[c for c in [id_column, *(drop_columns or [])] if c],
-        n_train=n_train,
-        n_validation=n_validation,
-        rows_without_target=absent,
+        n_train=train.count(),
+        n_validation=validation.count(),
+        rows_without_target=facts["rows"] - facts["present"],
         seed=seed,
     )
 
@@ -407,8 +413,8 @@ def train_prepared(
         shares = {r["label"]: r["n"] for r in rows}
     return TrainingResult(
         model=model,
-        metrics=evaluate(model, data.validation),
-        train_metrics=evaluate(model, data.train, with_scores=False),
+        metrics=evaluate(model, data.validation, rows=data.n_validation),
+        train_metrics=evaluate(model, data.train, with_scores=False, rows=data.n_train),
         class_distribution=shares,
         cv_scores=cv_scores,
         feature_importance=feature_importance(model),
@@ -448,9 +454,11 @@ def train_model(
 ) -> TrainingResult:
     """Train end to end; options are those of :func:`prepare_data`, the scoring, and the features'."""
     data_options, fit_options = _divide(options)
-    data_options["task"] = data_options.get("task") or infer_task(df, target)
+    facts = check_target(df, target)
+    data_options["task"] = data_options.get("task") or facts["task"]
     create_model(algorithm, data_options["task"], params)  # refuse a bad name before any work
-    return train_prepared(prepare_data(df, target, **data_options), algorithm, params, **fit_options)
+    data = prepare_data(df, target, facts=facts, **data_options)
+    return train_prepared(data, algorithm, params, **fit_options)
 
 
 def leaderboard(scores: DataFrame, task: str) -> DataFrame:
@@ -471,13 +479,14 @@ def compare_models(
     **options,
 ) -> tuple[list[TrainingResult], DataFrame]:
     """Train several models on the same parts; returns the results and their ranking."""
-    task = task or infer_task(df, target)
+    facts = check_target(df, target)
+    task = task or facts["task"]
     names = algorithms or available_models(task)
     for n in names:
         if n not in available_models(task):
             raise ModelError(f"Model '{n}' is not available for {task}; there are {', '.join(available_models(task))}.")
     data_options, fit_options = _divide(options)
-    data = prepare_data(df, target, task=task, **data_options)
+    data = prepare_data(df, target, task=task, facts=facts, **data_options)
     results = [train_prepared(data, n, (params or {}).get(n), **fit_options) for n in names]
     second = "f1" if task == "classification" else "rmse"
     first = "accuracy" if task == "classification" else "r2"
