@@ -32,7 +32,7 @@ def test_names():
             create_model(*args)
 
 
-def test_parameters():
+def test_parameters(spark):
     plan = create_model("random_forest", "classification", {"n_estimators": 7})
     est = plan.estimator(rows=10)
     assert est.getNumTrees() == 7 and est.getFeatureSubsetStrategy() == "sqrt" and est.getMaxDepth() == 10
