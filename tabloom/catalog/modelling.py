@@ -112,13 +112,14 @@ def cross_validate(spark, d):
         fold="_fold",
         classes=data.classes,
         exclude=data.exclude,
+        parallelism=3,
     )
     return spark.createDataFrame(list(enumerate(scores)), "fold int, score double")
 
 
 @query("train_result")
 def train_result(spark, d):
-    return _metrics(spark, _price(spark, d, "ridge", cv_folds=3))
+    return _metrics(spark, _price(spark, d, "ridge", cv_folds=3, parallelism=3))
 
 
 @query("feature_importance")

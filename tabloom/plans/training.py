@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 import time
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.ml.classification import (
     GBTClassificationModel,
@@ -275,16 +277,20 @@ def cross_validate(
     scoring: str | None = None,
     exclude: list[str] | None = None,
     seed: int = 42,
+    parallelism: int = 1,
     **feature_options,
 ) -> list[float]:
-    """One score per fold of a frame with a fold column; preprocessing is fitted anew per fold."""
+    """One score per fold of a frame with a fold column; preprocessing is fitted anew per fold.
+
+    ``parallelism`` folds run at a time, each keeping its feature matrix.
+    """
     scoring = scoring or default_scoring(plan.task)
     if scoring not in SCORERS:
         raise EvaluationError(f"Unknown scoring '{scoring}'; there are {', '.join(SCORERS)}.")
     metric, sign = SCORERS[scoring]
     numbers = sorted(r[0] for r in df.select(fold).distinct().collect())
-    scores = []
-    for i in numbers:
+
+    def score(i) -> float:
         model = fit_model(
             df.where(col(fold) != i).drop(fold),
             target,
@@ -298,8 +304,13 @@ def cross_validate(
         value = evaluate(model, df.where(col(fold) == i).drop(fold), rows=held).get(metric)
         if value is None:
             raise EvaluationError(f"Scoring '{scoring}' does not apply to fold {i}.")
-        scores.append(sign * value)
-    return scores
+        return sign * value
+
+    if parallelism <= 1:
+        return [score(i) for i in numbers]
+    ensure_checkpoint_dir(df.sparkSession)
+    with ThreadPool(min(parallelism, len(numbers))) as pool:
+        return pool.map(inheritable_thread_target(df.sparkSession)(score), numbers)
 
 
 def summarise_cv(scores: list[float]) -> dict:
@@ -393,9 +404,13 @@ def train_prepared(
     params: dict | None = None,
     *,
     scoring: str | None = None,
+    parallelism: int = 1,
     **feature_options,
 ) -> TrainingResult:
-    """Cross-validate, fit on the training part, and measure on both parts."""
+    """Cross-validate, fit on the training part, and measure on both parts.
+
+    ``parallelism`` is the number of folds worked on at a time.
+    """
     plan = create_model(algorithm, data.task, params)
     if scoring is not None and scoring not in SCORERS:
         raise EvaluationError(f"Unknown scoring '{scoring}'; there are {', '.join(SCORERS)}.")
@@ -404,7 +419,15 @@ def train_prepared(
     cv_scores = {}
     if data.folded is not None:
         cv_scores = summarise_cv(
-            cross_validate(data.folded, data.target, plan, fold="_fold", scoring=scoring, **options)
+            cross_validate(
+                data.folded,
+                data.target,
+                plan,
+                fold="_fold",
+                scoring=scoring,
+                parallelism=parallelism,
+                **options,
+            )
         )
     model = fit_model(data.train, data.target, plan, **options)
     shares = {}
