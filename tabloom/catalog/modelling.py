@@ -145,7 +145,14 @@ def _stored(spark, d):
     return T.load_model(spark, T.save_model(spark, result, scratch_path(spark, "model")))
 
 
-@query("model_roundtrip")
+@query(
+    "model_roundtrip",
+    """
+SELECT 'ridge' AS algorithm, 'regression' AS task, 'price' AS target, feature FROM (
+  SELECT 'serial' AS feature UNION ALL SELECT 'p_size'
+  UNION ALL SELECT DISTINCT concat('p_brand_', p_brand) FROM part
+  UNION ALL SELECT DISTINCT concat('p_type_', p_type) FROM part)""",
+)
 def model_roundtrip(spark, d):
     model, meta = _stored(spark, d)
     rows = [(model.algorithm, model.task, model.target, f) for f in meta["feature_names"]]
