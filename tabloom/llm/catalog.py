@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tabloom.llm import bpe, chat, secret_scan, token_counts
+from pyspark.sql import functions as F
+
+from tabloom.llm import bpe, chat, ordinal, raking, secret_scan, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -80,3 +82,64 @@ def secrets(spark, d):
 @query("op7_token_counts")
 def tokens(spark, d):
     return token_counts.count_tokens(table(spark, d, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def severity_grades(labels: DataFrame) -> DataFrame:
+    """Grades from the two labels: 0 not toxic, 1 toxic, 2 toxic in a document of low quality."""
+    grade = F.when(F.col("toxic") == 1, F.when(F.col("quality") == 0, 2).otherwise(1)).when(F.col("toxic") == 0, 0)
+    return labels.select(F.col("doc_id").alias("key"), grade.alias("grade"))
+
+
+@query("op4_toxicity_ordinal")
+def toxicity(spark, d):
+    docs = table(spark, d, "documents")
+    return ordinal.score_texts(docs, ordinal.fit(docs, severity_grades(table(spark, d, "labels"))))
+
+
+MIX_DIMS = ("source", "lang", "topic")
+
+
+def with_topic(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("mix_tokens", raking.words()).withColumn("topic", raking.form())
+
+
+@query(
+    "op9_mix_sources",
+    """
+WITH docs AS (
+  SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang, coalesce(text, '') AS text FROM documents
+), counted AS (
+  SELECT *, CASE WHEN text = '' THEN 0 ELSE length(text) - length(replace(text, ' ', '')) + 1 END AS n,
+    length(text) - length(replace(text, '|', '')) AS marks, length(text) - length(replace(text, chr(10), '')) AS lines
+  FROM docs
+), topics AS (
+  SELECT doc_id, source, lang, n, CASE WHEN marks * 4 > n THEN 'table' WHEN lines * 8 > n THEN 'lines' WHEN n < 60 THEN 'note'
+    WHEN n < 800 THEN 'article' ELSE 'book' END AS topic
+  FROM counted
+), cells AS MATERIALIZED (SELECT source, lang, topic, sum(n) AS tokens FROM topics GROUP BY ALL),
+levels AS (
+  SELECT 'source' AS dim, source AS level, sum(tokens) AS t FROM cells GROUP BY ALL
+  UNION ALL SELECT 'lang', lang, sum(tokens) FROM cells GROUP BY ALL
+  UNION ALL SELECT 'topic', topic, sum(tokens) FROM cells GROUP BY ALL
+), aims AS MATERIALIZED (
+  SELECT dim, level, pow(t::DOUBLE, 0.7) / sum(pow(t::DOUBLE, 0.7)) OVER (PARTITION BY dim) * (SELECT sum(tokens) FROM cells) AS aim
+  FROM levels WHERE t > 0
+),
+"""
+    + raking.sweep_sql(MIX_DIMS)
+    + """
+SELECT doc_id, source, lang, topic, cast(n AS bigint) AS n_tokens, round(factor, 6) AS weight,
+  round(least(1.0, factor / (SELECT max(factor) FROM raked WHERE tokens > 0)), 6) AS probability,
+  cast('0x' || substr(md5(coalesce(cast(doc_id AS varchar), '') || ':mix'), 1, 13) AS bigint) / 4503599627370496.0
+    < least(1.0, factor / (SELECT max(factor) FROM raked WHERE tokens > 0)) AS kept
+FROM topics JOIN raked USING (source, lang, topic)
+""",
+)
+def mix_sources(spark, d):
+    docs = with_topic(table(spark, d, "documents")).select("doc_id", "source", "lang", "topic", "mix_tokens")
+    mixed = raking.mix(docs, MIX_DIMS, tokens="mix_tokens")
+    level = [F.coalesce(c, F.lit("(none)")).alias(c) for c in MIX_DIMS]
+    return mixed.select(
+        "doc_id", *level, F.col("mix_tokens").alias("n_tokens"), F.round("mix_weight", 6).alias("weight"),
+        F.round("mix_probability", 6).alias("probability"), F.col("mix_kept").alias("kept"),
+    )
