@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tabloom.llm import bpe, chat, ordinal, raking, secret_scan, token_counts
+from tabloom.llm import bpe, brown, chat, ordinal, raking, secret_scan, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -143,3 +143,10 @@ def mix_sources(spark, d):
         "doc_id", *level, F.col("mix_tokens").alias("n_tokens"), F.round("mix_weight", 6).alias("weight"),
         F.round("mix_probability", 6).alias("probability"), F.col("mix_kept").alias("kept"),
     )
+
+
+@query("op1_brown_scoring")
+def brown_scoring(spark, d):
+    docs = table(spark, d, "documents")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
+    return brown.score_texts(docs, held_out)
