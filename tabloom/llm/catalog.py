@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tabloom.llm import bpe, brown, chat, ordinal, raking, secret_scan, token_counts
+from tabloom.llm import bpe, brown, chat, ngram_join, ordinal, raking, secret_scan, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -150,3 +150,8 @@ def brown_scoring(spark, d):
     docs = table(spark, d, "documents")
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
     return brown.score_texts(docs, held_out)
+
+
+@query("op10_ngram_jaccard_join")
+def ngram_jaccard_join(spark, d):
+    return ngram_join.join(table(spark, d, "documents"))
