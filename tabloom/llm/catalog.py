@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tabloom.llm import bpe, brown, chat, ngram_join, ordinal, raking, secret_scan, token_counts
+from tabloom.llm import bpe, brown, chat, ngram_join, ordinal, polytope, raking, secret_scan, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -155,3 +155,8 @@ def brown_scoring(spark, d):
 @query("op10_ngram_jaccard_join")
 def ngram_jaccard_join(spark, d):
     return ngram_join.join(table(spark, d, "documents"))
+
+
+@query("op2_embedding_near_dedup")
+def embedding_near_dedup(spark, d):
+    return polytope.link(table(spark, d, "embeddings"))
