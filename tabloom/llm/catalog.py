@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tabloom.llm import bpe, brown, chat, ngram_join, ordinal, polytope, raking, secret_scan, token_counts
+from tabloom.llm import bpe, brown, chat, ngram_join, ordinal, polytope, posting, raking, secret_scan, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -160,3 +160,8 @@ def ngram_jaccard_join(spark, d):
 @query("op2_embedding_near_dedup")
 def embedding_near_dedup(spark, d):
     return polytope.link(table(spark, d, "embeddings"))
+
+
+@query("op8_posting_lists")
+def posting_lists(spark, d):
+    return posting.search(table(spark, d, "embeddings"), F.col("id") % 20 == 0)
