@@ -46,6 +46,8 @@ TOLERANCE = 1e-5
 #: Values that travel with bucket members; all of them travel to the verification.
 FIRST_VALUES = 64
 BUCKET_BLOCK, GROUP_BLOCK = 4096, 512
+#: Text bytes hashed at a time in a task.
+SLICE = 2 << 20
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -148,7 +150,7 @@ def sketch(docs: DataFrame) -> DataFrame:
     """(row, id, digest, bands, first) for docs (row, id, text): no bands for a text without words."""
 
     def run(batches):
-        for part, column, _ in by_bytes(batches, "text"):
+        for part, column, _ in by_bytes(batches, "text", SLICE):
             hashes, counts = shingles(column)
             values = signatures(hashes, counts)
             first = (values[:, :FIRST_VALUES] >> np.uint64(48)).astype(np.uint16)
@@ -224,7 +226,7 @@ def with_sets(docs: DataFrame, wanted: DataFrame, rows: int) -> DataFrame:
     source = source.join(small(wanted, rows), "digest").select("rep", "component", "size", "copies", "text")
 
     def run(batches):
-        for part, column, _ in by_bytes(batches, "text"):
+        for part, column, _ in by_bytes(batches, "text", SLICE):
             # Copies in the same slice are taken once.
             _, once = np.unique(part.column(0).to_numpy(), return_index=True)
             part, column = part.take(pa.array(once)), column.take(pa.array(once))
