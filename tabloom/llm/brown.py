@@ -48,7 +48,7 @@ ITEMS = END + 1
 CLASSES = 48
 ROUNDS = 5
 DISCOUNT = 0.5
-_SLICE = 8 << 20
+_SLICE = 4 << 20
 
 
 def tokens(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -186,7 +186,7 @@ def encode(rows: DataFrame, key: str, text: str, lookup: Lookup, end_count: int)
     return staged(source.mapInArrow(run, schema), "items")
 
 
-def _chunks(batches, column: int = 0, size: int = 4_000_000):
+def _chunks(batches, column: int = 0, size: int = 1_000_000):
     """Item numbers of whole texts, some millions at a time."""
     for batch in batches:
         values = batch.column(column).to_pylist()
