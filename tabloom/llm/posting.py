@@ -11,7 +11,8 @@ component ``sqrt(M^2 - |x|^2)``, and a query 0 there.
 * Every vector is indexed: in its nearest list and, near a boundary, in up to ``COPIES`` lists whose
   distance is within a ratio of the nearest.
 * A query takes the lists whose distance is within ``PROBE_RATIO`` of its nearest, ``PROBES`` at most,
-  and its ``LEAST_PROBES`` nearest in any case, as a dense cluster fills several lists very close by.
+  and the ``LEAST_PROBES`` whose centroids have the largest inner product with it: a tight cluster with a
+  long centroid may be farther than loose lists with short ones, and yet hold the best.
 * A list that is long or asked for often is searched in blocks of (part of the list, part of its
   queries). Tasks return the best of each query, which are then ranked over all blocks.
 
@@ -85,14 +86,17 @@ class CentroidGraph:
         ring = (np.arange(n)[:, None] + np.array([1, -1])) % n
         return cls(centroids, np.concatenate([ties, ring], axis=1))
 
-    def search(self, vectors: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-        """The nearest centroids found for each vector, nearest first, and their distances."""
-        found = [self._search(vectors[at : at + 512], width) for at in range(0, len(vectors), 512)]
+    def search(self, vectors: np.ndarray, width: int = WIDTH, product: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest centroids found for each vector, nearest first, and their distances.
+
+        With ``product`` those of the largest inner products, and no distances in particular.
+        """
+        found = [self._search(vectors[at : at + 512], width, product) for at in range(0, len(vectors), 512)]
         return tuple(np.concatenate(x) for x in zip(*found))
 
-    def _search(self, x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    def _search(self, x: np.ndarray, width: int, product: bool) -> tuple[np.ndarray, np.ndarray]:
         n, rows = len(self.centroids), np.arange(len(x))[:, None]
-        square = (self.centroids**2).sum(axis=1)
+        square = (self.centroids**2).sum(axis=1) * (not product)
         apart = np.full((len(x), n), np.inf)
         opened = np.zeros((len(x), n), bool)
 
@@ -128,11 +132,15 @@ class CentroidGraph:
 
 
 def _chosen(graph: CentroidGraph, x: np.ndarray, most: int, ratio: float, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(vector, list) within a ratio of each vector's nearest list, or among its ``least`` nearest."""
+    """(vector, list) within a ratio of each vector's nearest list, or among its ``least`` largest products."""
     order, apart = graph.search(x)
     order, apart = order[:, :most], apart[:, :most]
-    r, c = np.nonzero(np.isfinite(apart) & ((apart <= ratio * apart[:, :1]) | (np.arange(apart.shape[1]) < least)))
-    return r, order[r, c]
+    r, c = np.nonzero(np.isfinite(apart) & (apart <= ratio * apart[:, :1]))
+    chosen = r * len(graph.centroids) + order[r, c]
+    if least:
+        more = graph.search(x, product=True)[0][:, :least]
+        chosen = np.union1d(chosen, (np.arange(len(x))[:, None] * len(graph.centroids) + more).ravel())
+    return chosen // len(graph.centroids), chosen % len(graph.centroids)
 
 
 def augmented(x: np.ndarray, longest: float) -> np.ndarray:
@@ -172,7 +180,7 @@ def _lists(rows: DataFrame, graph: CentroidGraph, longest: float, dim: int, quer
                     y = np.concatenate([x / np.linalg.norm(x, axis=1, keepdims=True), np.zeros((len(x), 1))], axis=1)
                     r, c = _chosen(shared.value, y, PROBES, PROBE_RATIO, LEAST_PROBES)
                 else:
-                    r, c = _chosen(shared.value, augmented(x, longest), COPIES, COPY_RATIO, 1)
+                    r, c = _chosen(shared.value, augmented(x, longest), COPIES, COPY_RATIO, 0)
                 take = pa.array(r)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, pa.int32()), *(part.column(i).take(take) for i in range(3))], names=["list", "row", "id", "vector"]
