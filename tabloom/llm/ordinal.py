@@ -36,6 +36,10 @@ MAX_ROWS = 20_000
 MAX_FEATURES = 4096
 #: Documents of the sample that a feature must occur in.
 LEAST_ROWS = 4
+#: Standard deviations that a feature's log odds differ from 0.
+LEAST_Z = 2.0
+#: Probability of at least grade 1 from which a document is rejected.
+REJECT_AT = 0.3
 #: Letters of the word beginnings.
 BEGINNINGS = (4, 5, 6)
 _WORDS = re.compile(r"\w+")
@@ -134,7 +138,7 @@ def _selected(sample: DataFrame, n_high: int, n_low: int, most: int) -> list[str
     a, b = F.col("high") + 0.5, F.col("n") - F.col("high") + 0.5
     odds = F.log(a / (n_high - F.col("high") + 0.5)) - F.log(b / (n_low - F.col("n") + F.col("high") + 0.5))
     ranked = _gather(sample).where(F.col("n") >= LEAST_ROWS).withColumn("z", odds / F.sqrt(1 / a + 1 / b))
-    top = ranked.where(F.abs("z") > 2.0).orderBy(F.abs("z").desc(), "feature").limit(most)
+    top = ranked.where(F.abs("z") > LEAST_Z).orderBy(F.abs("z").desc(), "feature").limit(most)
     return [r["feature"] for r in top.select("feature").collect()]
 
 
@@ -146,7 +150,7 @@ def fit(
     text: str = "text",
     max_rows: int = MAX_ROWS,
     max_features: int = MAX_FEATURES,
-    penalty: float = 2.0,
+    penalty: float = 0.5,
 ) -> OrdinalModel:
     """Fit on documents that ``grades`` (key, grade from 0 up) names."""
     sample = graded_sample(docs, grades, key, text, max_rows)
@@ -206,22 +210,43 @@ def _optimise(grade, row, feature, value, width: int, top: int, penalty: float,
     return params[:width], params[width] + np.concatenate([[0], np.cumsum(gaps)])
 
 
+def _judge(model: OrdinalModel):
+    """A function of texts to the probabilities of at least each grade above 0."""
+    names = list(model.weights)
+    chosen, weights = {n: i for i, n in enumerate(names)}, np.array([model.weights[n] for n in names])
+    memory: dict = {}
+
+    def run(column: pa.Array) -> np.ndarray:
+        score = np.zeros(len(column))
+        if chosen:
+            text, feature, count = parts_and_features(column, chosen, memory)
+            score = np.bincount(text, weights[feature] * np.log1p(count), len(column)).astype(float)
+        return model.at_least(score)
+
+    return run
+
+
+def without_rejected(docs: DataFrame, model: OrdinalModel, *, text: str = "text", reject_at: float = REJECT_AT) -> DataFrame:
+    """The rows, with all their columns, whose text is not rejected."""
+
+    def run(batches):
+        judge = _judge(model)
+        for rows, column, _ in by_bytes(batches, text):
+            yield rows.filter(pa.array(judge(column)[:, 0] < reject_at))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score_texts(
-    docs: DataFrame, model: OrdinalModel, *, keys: Sequence[str] = ("doc_id",), text: str = "text", reject_at: float = 0.5
+    docs: DataFrame, model: OrdinalModel, *, keys: Sequence[str] = ("doc_id",), text: str = "text", reject_at: float = REJECT_AT
 ) -> DataFrame:
     """The keys with severity (expected grade), grade (most probable), p_toxic (at least grade 1) and rejected."""
-    names = list(model.weights)
-    chosen, weights = {n: i for i, n in enumerate(names)}, np.array([model.weights[n] for n in names])
 
     def make():
-        memory: dict = {}
+        judge = _judge(model)
 
         def run(column: pa.Array, _):
-            score = np.zeros(len(column))
-            if chosen:
-                text_, feature, count = parts_and_features(column, chosen, memory)
-                score = np.bincount(text_, weights[feature] * np.log1p(count), len(column)).astype(float)
-            over = model.at_least(score)
+            over = judge(column)
             each = -np.diff(np.concatenate([np.ones((len(column), 1)), over, np.zeros((len(column), 1))], axis=1), axis=1)
             return [over.sum(axis=1), each.argmax(axis=1), over[:, 0], over[:, 0] >= reject_at]
 
