@@ -7,12 +7,21 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Text bytes handled at a time in a task. One longer text still makes a slice of its own.
 SLICE_BYTES = 8 << 20
+#: Bytes of an Arrow batch that a session without a bound of its own gets.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the bytes of an Arrow batch, unless the session has a bound; long texts else make large ones."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 def texts(column: pa.Array) -> pa.Array:
