@@ -134,13 +134,25 @@ def make_lookup(vocabulary: DataFrame) -> Lookup:
     return Lookup(words, counts, tokens_, types, least)
 
 
-def encode(rows: DataFrame, key: str, text: str, lookup: Lookup, end_count: int) -> DataFrame:
-    """Each text as item numbers, with the sums its looked-up tokens give, and its other words; stored."""
+def sums_by_text(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sums of consecutive values, each text added up by itself."""
+    out, starts = np.zeros(len(ends)), np.concatenate([[0], ends[:-1]])
+    full = np.flatnonzero(ends > starts)
+    if len(full):
+        out[full] = np.add.reduceat(values, starts[full])
+    return out
+
+
+def encode(rows: DataFrame, key: str, text: str, lookup: Lookup, end_count: int, total: int) -> DataFrame:
+    """Each text as item numbers, with the sums its looked-up tokens give, and its other words; stored.
+
+    ``total`` is what a count and one are divided by for the base score.
+    """
     shared = rows.sparkSession.sparkContext.broadcast((lookup, lookup.items(), lookup.shares()))
 
     def run(batches):
         known, items, shares = shared.value
-        logs = np.log10(known.counts + 1.0)
+        logs = np.log10((known.counts + 1.0) / total)
         for part, column, _ in by_bytes(batches, "~text", _SLICE):
             flat, lengths = tokens(column)
             coded = flat.dictionary_encode()
@@ -151,10 +163,9 @@ def encode(rows: DataFrame, key: str, text: str, lookup: Lookup, end_count: int)
             item[missing] = [CORE + ending(w) for w in words.take(pa.array(missing)).to_pylist()]
             code = coded.indices.to_numpy(zero_copy_only=False)
             found, ends = place >= 0, np.cumsum(lengths)
-            sums = []
-            for value in (found, np.where(found, logs[place] if len(logs) else 0, 0), np.where(found, shares[place] if len(shares) else 0, 0)):
-                total = np.concatenate([[0.0], np.cumsum(value[code])])
-                sums.append(np.diff(total[np.concatenate([[0], ends])]))
+            log = np.where(found, logs[place] if len(logs) else 0, 0)
+            share = np.where(found, shares[place] if len(shares) else 0, 0)
+            sums = [sums_by_text(value[code], ends) for value in (found.astype(float), log, share)]
             # Item numbers of each text, then its end.
             numbers = np.insert(item[code], ends, END).astype(np.uint16)
             offsets = np.concatenate([[0], 2 * (ends + np.arange(1, len(ends) + 1))]).astype(np.int32)
@@ -167,7 +178,7 @@ def encode(rows: DataFrame, key: str, text: str, lookup: Lookup, end_count: int)
                     part.column(2),
                     pa.array(lengths + 1),
                     pa.array(np.rint(sums[0]).astype(np.int64) + (end_count > 0)),
-                    pa.array(sums[1] + np.log10(end_count + 1.0)),
+                    pa.array(sums[1] + np.log10((end_count + 1.0) / total)),
                     pa.array(sums[2]),
                     pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(numbers)]),
                     pa.ListArray.from_arrays(pa.array(rare_ends), flat.filter(pa.array(rare)).cast(pa.string())),
@@ -340,10 +351,9 @@ def score_items(encoded: DataFrame, model: ClassModel) -> DataFrame:
     def run(batches):
         for part, items in _chunks(batches, 7):
             lengths = part.column(3).to_numpy()
-            total = np.concatenate([[0.0], np.cumsum(shared.value.score(items))])
-            ends = np.concatenate([[0], np.cumsum(lengths)])
+            classed = sums_by_text(shared.value.score(items), np.cumsum(lengths))
             yield pa.RecordBatch.from_arrays(
-                [*(part.column(i) for i in range(7)), pa.array(np.diff(total[ends]))],
+                [*(part.column(i) for i in range(7)), pa.array(classed)],
                 names=["row", "key", "held_out", "n_tokens", "known", "logs", "shares", "classed"],
             )
 
@@ -353,7 +363,7 @@ def score_items(encoded: DataFrame, model: ClassModel) -> DataFrame:
     return encoded.select(*columns).mapInArrow(run, schema)
 
 
-def rare_sums(encoded: DataFrame, vocabulary: DataFrame, lookup: Lookup) -> DataFrame:
+def rare_sums(encoded: DataFrame, vocabulary: DataFrame, lookup: Lookup, total: int) -> DataFrame:
     """For each row with words outside the lookup: how many are known, and the sums of their logs and shares."""
     groups = encoded.sparkSession.createDataFrame(
         [(g, float(n), float(w)) for g, (n, w) in enumerate(zip(lookup.group_tokens, lookup.group_words))],
@@ -369,7 +379,7 @@ def rare_sums(encoded: DataFrame, vocabulary: DataFrame, lookup: Lookup) -> Data
     )
     return found.groupBy("row").agg(
         F.count("n").alias("rare_known"),
-        F.sum(F.log10(F.coalesce("n", F.lit(0)) + 1.0)).alias("rare_logs"),
+        F.sum(F.log10((F.coalesce("n", F.lit(0)) + 1.0) / total)).alias("rare_logs"),
         F.sum(F.coalesce(share, F.lit(0.0))).alias("rare_shares"),
     )
 
@@ -387,10 +397,11 @@ def score_texts(docs: DataFrame, held_out, *, key: str = "doc_id", text: str = "
     ends = train.count()
     total, types = words + ends, types + (ends > 0)
     lookup = make_lookup(vocabulary)
-    encoded = encode(rows, key, "text", lookup, ends)
+    divisor = total + types + 1
+    encoded = encode(rows, key, "text", lookup, ends, divisor)
     classes, table, counts = exchange(encoded, rounds)
     model = ClassModel.of(classes, table, _item_counts(counts))
-    joined = score_items(encoded, model).join(rare_sums(encoded, vocabulary, lookup), "row", "left")
+    joined = score_items(encoded, model).join(rare_sums(encoded, vocabulary, lookup, divisor), "row", "left")
     rare = {c: F.coalesce(f"rare_{c}", F.lit(0)) for c in ("known", "logs", "shares")}
     score = F.col("classed") + F.col("shares") + rare["shares"]
     return joined.select(
@@ -399,7 +410,7 @@ def score_texts(docs: DataFrame, held_out, *, key: str = "doc_id", text: str = "
         "n_tokens",
         (F.col("known") + rare["known"]).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("logs") + rare["logs"] - F.col("n_tokens") * F.log10(F.lit(float(total + types + 1)))).alias("base_score"),
+        (F.col("logs") + rare["logs"]).alias("base_score"),
         score.alias("score"),
         F.pow(F.lit(10.0), -score / F.col("n_tokens")).alias("perplexity"),
     )
