@@ -270,7 +270,10 @@ def gains(before_: np.ndarray, after: np.ndarray, own: int, table: np.ndarray) -
     rows, columns = np.maximum(rows, 0), np.maximum(columns, 0)
     entering = (_xlogx(base + before_[:, None]) - _xlogx(base)).sum(axis=0)
     leaving = (_xlogx(base + after[None, :]) - _xlogx(base)).sum(axis=1)
-    total = entering + leaving - _xlogx(rows + n_after) + _xlogx(rows) - _xlogx(columns + n_before) + _xlogx(columns)
+    # The cell of the class with itself takes both counts at once.
+    own_cell, b, a = np.diag(base), before_, after
+    both = _xlogx(own_cell + b + a) - _xlogx(own_cell + b) - _xlogx(own_cell + a) + _xlogx(own_cell)
+    total = entering + leaving + both - _xlogx(rows + n_after) + _xlogx(rows) - _xlogx(columns + n_before) + _xlogx(columns)
     return total - total[own]
 
 

@@ -190,5 +190,5 @@ def link(rows: DataFrame, *, key: str = "vec_id", embedding: str = "embedding",
         F.col("id").alias(key),
         F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
         component.alias("component_id"),
-        F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),
+        F.col("id").eqNullSafe(component).alias("kept"),
     )
