@@ -7,5 +7,5 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, ro
 def documents(spark, texts=None, empty=False):
     texts = texts or [None, "", "   ", LONG, "one two three four five six seven", "one two three four five six seven", "a", "é ß 漢字 👍\u0000 end"]
     rows = [(i, t, None if i % 3 == 0 else "en", "s", None, 1, "d", 2, "k", 0.5, None) for i, t in enumerate(texts)]
-    rows += [rows[4], (None, "row without id", None, None, 3, None, None, None, None, None, None)]
+    rows += [rows[min(4, len(rows) - 1)], (None, "row without id", None, None, 3, None, None, None, None, None, None)]
     return spark.createDataFrame([] if empty else rows, SCHEMA)
