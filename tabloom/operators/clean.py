@@ -31,7 +31,7 @@ from tabloom.functions.storage import staged
 
 MISSING_STRATEGIES = ("mean", "median", "most_frequent", "constant", "drop")
 OUTLIER_METHODS = (None, "iqr", "zscore")
-COERCE_SHARE = 0.9
+BLANK_CELL = r"^[,\s]*$"
 
 
 @dataclass
@@ -108,13 +108,14 @@ def _check_options(missing_strategy: str, outlier_method: str | None) -> None:
         raise ConfigError(f"outlier_method '{outlier_method}' is none of iqr, zscore, None.")
 
 
-def fit_coercion(df: DataFrame, *, min_share: float = COERCE_SHARE, strict: bool = False) -> dict[str, str]:
-    """Text columns that hold numbers, with the type they convert to.
+def fit_coercion(df: DataFrame, *, min_share: float = 1.0, exclude: list[str] | None = None) -> dict[str, str]:
+    """Text columns that hold numbers, with the type they convert to; ``exclude`` leaves columns as they are.
 
-    Decided over all values: at least ``min_share`` of the non-missing ones give a number. With
-    ``strict`` one value that is neither number nor blank rules the column out.
+    Decided over all values. By default one that is neither number nor blank rules a column out. A
+    smaller ``min_share`` lets that share of the non-missing values decide; the other cells are then
+    lost, and :func:`lost_cells` counts them.
     """
-    names = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
+    names = [f.name for f in df.schema if isinstance(f.dataType, T.StringType) and f.name not in (exclude or [])]
     if not names:
         return {}
     aggs = []
@@ -123,20 +124,28 @@ def fit_coercion(df: DataFrame, *, min_share: float = COERCE_SHARE, strict: bool
             F.count(col(c)).alias(f"n{i}"),
             F.count(text_to_double(col(c))).alias(f"d{i}"),
             F.count(text_to_long(col(c))).alias(f"l{i}"),
-            F.count_if(col(c).rlike(r"^[,\s]*$")).alias(f"b{i}"),
+            F.count_if(col(c).rlike(BLANK_CELL)).alias(f"b{i}"),
         ]
     row = df.agg(F.count(F.lit(1)).alias("rows"), *aggs).first()
     chosen = {}
     for i, c in enumerate(names):
         present, numbers, whole, blank = (row[f"{k}{i}"] for k in "ndlb")
-        if not present or numbers / present < min_share:
-            continue
-        if strict and numbers + blank < present:
+        enough = numbers + blank == present if min_share >= 1 else numbers >= min_share * present
+        if not numbers or not enough:
             continue
         chosen[c] = "bigint" if whole == row["rows"] else "double"
     return chosen
 
 
+def lost_cells(df: DataFrame, kinds: dict[str, str]) -> Column:
+    """Aggregate: how many cells of coerced columns are neither number nor blank, by column, none left out."""
+    counts = []
+    for c in kinds:
+        lost = F.count_if(col(c).isNotNull() & text_to_double(col(c)).isNull() & ~col(c).rlike(BLANK_CELL))
+        counts.append(F.struct(F.lit(c).alias("column"), lost.alias("cells")))
+    return F.array(*counts).cast("array<struct<column:string,cells:bigint>>")
+
+
 def coerce_columns(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
     if not kinds:
         return df
@@ -165,7 +174,7 @@ def fit_cleaner(
 ) -> CleanerModel:
     """Fit on coerced and, if wanted, de-duplicated rows (see :func:`clean_dataframe`).
 
-    ``exclude`` keeps columns such as ids and targets from being imputed or capped.
+    ``exclude`` keeps columns such as ids and targets from being dropped, imputed or capped.
     """
     _check_options(missing_strategy, outlier_method)
     require_flat(df)
@@ -182,7 +191,8 @@ def fit_cleaner(
     if not rows:
         return model
     missing = {c: row[f"m{i}"] for i, c in enumerate(names)}
-    model.dropped = [c for c in names if missing[c] / rows >= drop_high_missing_threshold]
+    sparse = [c for c in names if missing[c] / rows >= drop_high_missing_threshold]
+    model.dropped = [c for c in sparse if c not in (exclude or [])]
     kept = [c for c in names if c not in model.dropped]
     touch = [c for c in kept if c not in (exclude or [])]
     holes = [c for c in touch if missing[c]]
@@ -287,13 +297,17 @@ def clean_dataframe(
     outlier_method: str | None = None,
     outlier_threshold: float = 3.0,
     exclude: list[str] | None = None,
-    strict_coercion: bool = False,
+    coerce_share: float = 1.0,
     exact: bool = True,
 ) -> tuple[DataFrame, DataFrame, CleanerModel]:
-    """Clean a dataset; returns the rows, a one-row report of counters, and the fitted step."""
+    """Clean a dataset; returns the rows, a one-row report of counters, and the fitted step.
+
+    ``exclude`` names columns that no step changes or drops. ``coerce_share`` below 1 lets text columns
+    become numbers although some cells are none; the report counts the cells lost that way.
+    """
     _check_options(missing_strategy, outlier_method)
     require_flat(df)
-    kinds = fit_coercion(df, strict=strict_coercion)
+    kinds = fit_coercion(df, min_share=coerce_share, exclude=exclude)
     coerced = coerce_columns(df, kinds)
     # De-duplication is the one shuffle of whole rows: done once, then read by every later scan.
     base = staged(coerced.distinct(), "deduplicated") if drop_duplicates else coerced
@@ -314,7 +328,8 @@ def clean_dataframe(
 
 
 def _report(source: DataFrame, base: DataFrame, filled: DataFrame, model: CleanerModel) -> DataFrame:
-    before = source.agg(F.count(F.lit(1)).alias("rows_before"))
+    lost = lost_cells(source, model.coerce)
+    before = source.agg(F.count(F.lit(1)).alias("rows_before"), lost.alias("cells_lost"))
     cells = [F.count_if(col(c).isNull()) for c in model.fill]
     middle = base.agg(
         F.count(F.lit(1)).alias("rows_unique"),
@@ -326,7 +341,7 @@ def _report(source: DataFrame, base: DataFrame, filled: DataFrame, model: Cleane
         sum(out, F.lit(0)).cast("bigint").alias("outliers_capped"),
     )
     # Three one-row tables become one row without a join.
-    names = ["rows_before", "rows_unique", "missing_imputed", "rows_after", "outliers_capped"]
+    names = ["rows_before", "cells_lost", "rows_unique", "missing_imputed", "rows_after", "outliers_capped"]
     return (
         before.unionByName(middle, allowMissingColumns=True)
         .unionByName(after, allowMissingColumns=True)
@@ -341,5 +356,8 @@ def _report(source: DataFrame, base: DataFrame, filled: DataFrame, model: Cleane
             "missing_imputed",
             (F.col("rows_unique") - F.col("rows_after")).alias("rows_dropped_missing"),
             "outliers_capped",
+            F.array(*[F.lit(c) for c in model.coerce]).cast("array<string>").alias("columns_coerced"),
+            F.aggregate("cells_lost", F.lit(0).cast("bigint"), lambda n, c: n + c["cells"]).alias("cells_lost"),
+            F.filter("cells_lost", lambda c: c["cells"] > 0).alias("cells_lost_by_column"),
         )
     )

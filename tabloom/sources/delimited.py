@@ -1,13 +1,18 @@
 """Delimited text with separator, encoding, quoting and types found from the data.
 
-Two scans find everything: one over raw lines (encoding, quoted line breaks), one over text
-cells (ragged rows, column types). The returned frame is then an ordinary lazy CSV scan with a
-cast per column. Files are read whole-file (``multiLine``) only where a quoted cell really holds
-a line break, so large files stay splittable.
+Two scans find everything: one over raw lines (header, encoding and quoted line breaks of each
+file), one over text cells (ragged rows, column types). The returned frame is then an ordinary lazy
+CSV scan with a cast per column, one for each form that files have. Files are read whole-file
+(``multiLine``) only where a quoted cell really holds a line break, so large files stay splittable
+in either encoding.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,25 +59,42 @@ def detect_separator(first_line: str) -> str:
     return SEPARATORS[counts.index(max(counts))] if max(counts) else SEPARATORS[0]
 
 
-def probe_text(spark: SparkSession, path: str) -> dict:
-    """First line, whether all bytes are UTF-8, and whether a quoted cell spans lines."""
-    lines = spark.read.text(path)
-    first = lines.first()
-    if first is None:
+@dataclass
+class FileForm:
+    """Files of one header, encoding and quoting, which one scan can read."""
+
+    header: str
+    encoding: str
+    spanning: bool
+    files: list[str]
+
+
+def file_forms(spark: SparkSession, path: str) -> list[FileForm]:
+    """The forms among the files of a path, from one scan of raw lines, the most frequent form first.
+
+    A file with bytes that are not UTF-8 is taken as Latin-1; others beside it keep their own encoding.
+    """
+    lines = spark.read.text(path).select(
+        "value",
+        F.col("_metadata.file_path").alias("file"),
+        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place"),
+    )
+    text = F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(F.decode(F.col("value").cast("binary"), "ISO-8859-1"))
+    quotes = F.length(text) - F.length(F.replace(text, F.lit('"'), F.lit("")))
+    each = lines.groupBy("file").agg(
+        # The first line is the first one read of the block at the file's beginning.
+        F.min_by(text, "place").alias("header"),
+        F.min(F.is_valid_utf8("value")).alias("utf8"),
+        F.max(quotes % 2 == 1).alias("spanning"),
+    )
+    rows = each.groupBy("header", "utf8", "spanning").agg(F.sort_array(F.collect_list("file")).alias("files")).collect()
+    if not rows:
         raise DataError(f"Dataset '{path}' has no rows.")
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    valid = F.is_valid_utf8("value")
-    row = lines.agg(
-        F.min(valid).alias("utf8"),
-        # Only lines that are valid text are measured; others are checked after re-encoding.
-        F.max(F.when(valid, quotes % 2 == 1).otherwise(F.lit(False))).alias("spanning"),
-    ).first()
-    head = first["value"]
-    return {
-        "head": head.lstrip("﻿"),
-        "encoding": "UTF-8" if row["utf8"] else "ISO-8859-1",
-        "spanning": bool(row["spanning"]) or not row["utf8"],
-    }
+    forms = [
+        FileForm(r["header"].lstrip("﻿"), "UTF-8" if r["utf8"] else "ISO-8859-1", r["spanning"], [unquote(f) for f in r["files"]])
+        for r in rows
+    ]
+    return sorted(forms, key=lambda f: (-len(f.files), f.files[0]))
 
 
 def _reader(spark, sep, encoding, spanning):
@@ -113,14 +135,11 @@ def read_delimited(
     encoding: str | None = None,
 ) -> DataFrame:
     """Read CSV or TSV with a header; separator, encoding and types are found unless given."""
-    probe = probe_text(spark, path)
-    encoding = encoding or probe["encoding"]
-    spanning = probe["spanning"]
-    first = sep or detect_separator(probe["head"])
+    forms = file_forms(spark, path)
+    first = sep or detect_separator(forms[0].header)
     tried = []
-    for candidate in [first] if sep else [first, *[s for s in SEPARATORS if s != first]]:
-        names = _header(spark, path, candidate, encoding, spanning)
-        cells = _cells(spark, path, names, candidate, encoding, spanning)
+    for candidate in [None] if sep else [None, *[s for s in SEPARATORS if s != first]]:
+        cells, names = _all_cells(spark, path, forms, sep or candidate, encoding)
         if schema is not None:
             kinds = _declared(names, schema)
             if cells.where(col(OVERFLOW).isNotNull()).isEmpty():
@@ -129,12 +148,32 @@ def read_delimited(
             kinds = _infer(cells, names)
             if kinds is not None:
                 return _typed(cells, names, kinds)
-        tried.append(repr(candidate))
+        tried.append(repr(candidate or first))
     raise DataError(
         f"'{path}' is not a table: rows have more cells than the header with separator {', '.join(tried)}."
     )
 
 
+def _all_cells(spark, path, forms, sep, encoding) -> tuple[DataFrame, list[str]]:
+    """Text cells of all files, each form read by its own header, and the column names of the first form.
+
+    Without ``sep`` each form has the separator its header suggests. Columns go by name, so files may
+    order them differently; files with other names cannot be one table.
+    """
+    parts, names = [], None
+    for form in forms:
+        use = sep or detect_separator(form.header)
+        charset = encoding or form.encoding
+        own = _header(spark, form.files[0], use, charset, form.spanning)
+        if names is None:
+            names = own
+        elif sorted(own) != sorted(names):
+            raise DataError(f"'{path}' holds files with different columns: {', '.join(names)} and {', '.join(own)}.")
+        source = path if len(forms) == 1 else form.files
+        parts.append(_cells(spark, source, own, use, charset, form.spanning).select(*[col(n) for n in [*names, OVERFLOW]]))
+    return reduce(DataFrame.unionAll, parts), names
+
+
 def _declared(names, schema) -> dict[str, str]:
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)

@@ -57,8 +57,20 @@ def test_numeric_text(spark):
 
 def test_mostly_numeric_text(spark):
     df = spark.createDataFrame([(str(i),) for i in range(19)] + [("junk",)], "a string")
-    assert C.fit_coercion(df) == {"a": "double"}
-    assert C.fit_coercion(df, strict=True) == {}
+    assert C.fit_coercion(df) == {}
+    assert C.fit_coercion(df, min_share=0.9) == {"a": "double"}
+    assert C.fit_coercion(df, min_share=0.9, exclude=["a"]) == {}
+    _, report, _ = C.clean_dataframe(df, coerce_share=0.9, drop_duplicates=False)
+    row = report.first()
+    assert row["columns_coerced"] == ["a"] and row["cells_lost"] == 1
+    assert [tuple(c) for c in row["cells_lost_by_column"]] == [("a", 1)]
+
+
+def test_excluded_columns_stay(spark):
+    df = spark.createDataFrame([(f"{i:05d}", None, "1") for i in range(20)], "id string, empty string, n string")
+    cleaned, _, model = C.clean_dataframe(df, exclude=["id", "empty"])
+    assert sorted(r["id"] for r in cleaned.collect())[:2] == ["00000", "00001"] and "empty" in cleaned.columns
+    assert model.coerce == {"n": "bigint"} and model.dropped == []
 
 
 def test_other_strategies(spark):

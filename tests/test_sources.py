@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tabloom import generate_customers, load_table, save_table
 from tabloom.errors import DataError
-from tabloom.sources.delimited import detect_separator, probe_text
+from tabloom.sources.delimited import detect_separator, file_forms
 from tabloom.sources.tables import save_splits
 
 
@@ -48,12 +48,32 @@ def test_encodings(spark, tmp_path):
     assert rows(load_table(spark, write(tmp_path, "b.csv", "﻿n,v\né,1\n"))) == [("é", 1)]
 
 
+def test_folder_with_two_column_orders_and_encodings(spark, tmp_path):
+    folder = tmp_path / "a folder"
+    folder.mkdir()
+    write(folder, "a.csv", "id,price,name\n1,10,é\n")
+    write(folder, "b.csv", "id,name,price\n2,ü,20\n", "latin-1")
+    write(folder, "c.csv", "name;id;price\nx;3;30\n")
+    df = load_table(spark, str(folder), "csv")
+    assert sorted(tuple(r) for r in df.select("id", "price", "name").collect()) == [(1, 10, "é"), (2, 20, "ü"), (3, 30, "x")]
+    write(folder, "d.csv", "id,cost,name\n4,40,y\n")
+    with pytest.raises(DataError, match="different columns"):
+        load_table(spark, str(folder), "csv")
+
+
+def test_latin_files_stay_splittable(spark, tmp_path):
+    path = write(tmp_path, "a.csv", "n,v\n" + "é,1\n" * 3, "latin-1")
+    assert not file_forms(spark, path)[0].spanning
+    path = write(tmp_path, "b.csv", 'n,v\n"é\nü",1\n', "latin-1")
+    assert file_forms(spark, path)[0].spanning and rows(load_table(spark, path)) == [("é\nü", 1)]
+
+
 def test_quoted_cells_and_line_breaks(spark, tmp_path):
     path = write(tmp_path, "a.csv", 'a,b\n"x ""y"", z",1\n"two\nlines",2\n')
-    assert probe_text(spark, path)["spanning"]
+    assert file_forms(spark, path)[0].spanning
     assert sorted(rows(load_table(spark, path))) == [("two\nlines", 2), ('x "y", z', 1)]
     plain = write(tmp_path, "b.csv", 'a,b\n"x, y",1\n')
-    assert not probe_text(spark, plain)["spanning"]
+    assert not file_forms(spark, plain)[0].spanning
 
 
 def test_missing_tokens_and_types(spark, tmp_path):
