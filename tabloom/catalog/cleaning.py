@@ -45,6 +45,29 @@ def clean_coerce_numeric(spark, d):
     return C.coerce_columns(df, C.fit_coercion(df))
 
 
+_JUNK = """
+SELECT c_custkey, CASE WHEN c_custkey % 20 = 0 THEN 'unknown' ELSE cast(c_nationkey AS {text}) END AS code,
+       cast(c_nationkey AS {text}) AS nation
+FROM {customer}"""
+
+
+@query("clean_coerce_junk", f"SELECT c_custkey, code, cast(nation AS bigint) AS nation FROM ({duck(_JUNK)})")
+def clean_coerce_junk(spark, d):
+    """A column with one word in twenty cells stays text; one of numbers alone becomes numeric."""
+    df = derived(spark, d, _JUNK)
+    return C.coerce_columns(df, C.fit_coercion(df))
+
+
+_PADDED = "SELECT lpad(cast(c_custkey AS {text}), 8, '0') AS id, cast(c_nationkey AS {text}) AS nation FROM {customer}"
+
+
+@query("clean_exclude", f"SELECT id, cast(nation AS bigint) AS nation FROM ({duck(_PADDED)})")
+def clean_exclude(spark, d):
+    """Zero-padded ids stay as they are where the caller excludes them."""
+    cleaned, _, _ = C.clean_dataframe(derived(spark, d, _PADDED), exclude=["id"])
+    return cleaned
+
+
 _FEW = "SELECT c_custkey, balance, segment FROM (" + DIRTY + ")"
 
 
@@ -170,4 +193,5 @@ FROM f, b""",
 )
 def clean_report(spark, d):
     _, report, _ = _full(spark, d)
+    report = report.drop("columns_coerced", "cells_lost", "cells_lost_by_column")
     return report.withColumn("columns_dropped", F.array_join("columns_dropped", ","))

@@ -190,7 +190,7 @@ def feature_transform_holdout(spark, d):
 
 
 # --------------------------------------------------------------------------- splits and folds
-_RANK = "row_number() OVER ({by}ORDER BY md5(concat(cast(o_orderkey AS varchar), '-', '42')))"
+_RANK = "row_number() OVER ({by}ORDER BY md5(concat(length(cast(o_orderkey AS varchar)), ':', cast(o_orderkey AS varchar), '-', '42')))"
 _WHOLE_RANK = _RANK.replace("{by}", "")
 _CLASS_RANK = _RANK.replace("{by}", "PARTITION BY o_orderstatus ")
 

@@ -14,12 +14,12 @@ TREES = {"n_estimators": 10}
 
 
 def documents(spark, d):
-    """Labelled documents with text measures that tell good from bad."""
+    """All documents with text measures that tell good from bad; those without a label have no quality."""
     words = F.split("text", r"\s+")
     letters = F.length(F.regexp_replace("text", r"[^\p{L}\s]", ""))
     return (
         table(spark, d, "documents")
-        .join(table(spark, d, "labels"), "doc_id")
+        .join(table(spark, d, "labels"), "doc_id", "left")
         .select(
             "doc_id",
             "lang",
@@ -166,12 +166,17 @@ def evaluate_model(spark, d):
     return spark.createDataFrame(list(metrics.items()), "metric string, value double")
 
 
-@query("predict_scores")
+@query("predict_scores", "SELECT doc_id, true AS known_label, 1.0e0 AS total_probability FROM documents")
 def predict_scores(spark, d):
-    df = documents(spark, d)
+    """Every document, labelled or not, with what must hold of any prediction."""
     model = _quality(spark, d, "logistic_regression", cv_folds=0).model
-    scored = T.predict(model, df.drop("quality"), "doc_id")
-    return scored.select(*[F.round(c, 4).alias(c) if c.startswith("probability") else F.col(c) for c in scored.columns])
+    scored = T.predict(model, documents(spark, d).drop("quality"), "doc_id")
+    shares = sum((F.col(c) for c in model.probability_columns.values()), F.lit(0.0))
+    return scored.select(
+        "doc_id",
+        F.col("prediction").isin(model.classes).alias("known_label"),
+        F.round(shares, 6).alias("total_probability"),
+    )
 
 
 @query("predict_preview")

@@ -12,17 +12,37 @@ from tabloom.plans import runs as R
 from tabloom.sources.generated import CHURN, PRICE, customers_for
 from tabloom.sources.tables import dataset_size_mb, load_table, save_document, save_table
 
-ORDER_COLUMNS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority"
+ORDER_COLUMNS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority"
 
 
 def _orders(spark, d):
-    return table(spark, d, "orders").drop("o_orderdate")
+    return table(spark, d, "orders")
+
+
+def _dated(df):
+    """Text formats hold times as text; they come back as such."""
+    return df.withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp"))
 
 
 @query("csv_roundtrip", f"SELECT {ORDER_COLUMNS} FROM orders")
 def csv_roundtrip(spark, d):
     path = save_table(_orders(spark, d), scratch_path(spark, "csv"), "csv")
-    return load_table(spark, path, "csv")
+    return _dated(load_table(spark, path, "csv"))
+
+
+@query(
+    "csv_folder_mixed",
+    "SELECT s_suppkey, concat('é ', s_name) AS name, cast(s_nationkey AS bigint) AS s_nationkey, s_acctbal FROM supplier",
+)
+def csv_folder_mixed(spark, d):
+    """One folder of files in two column orders and two encodings."""
+    path = scratch_path(spark, "csv")
+    df = table(spark, d, "supplier").withColumn("name", F.concat(F.lit("é "), "s_name"))
+    first = df.where("s_suppkey % 3 = 0").select("s_suppkey", "name", "s_nationkey", "s_acctbal")
+    other = df.where("s_suppkey % 3 <> 0").select("s_acctbal", "s_suppkey", "name", "s_nationkey")
+    first.write.csv(path, header=True)
+    other.write.mode("append").csv(path, header=True, encoding="ISO-8859-1")
+    return load_table(spark, path, "csv").select("s_suppkey", "name", "s_nationkey", "s_acctbal")
 
 
 @query("csv_autosep", "SELECT conv_id, turn, role, text FROM conversations")
@@ -90,14 +110,14 @@ def json_roundtrip(spark, d):
     df = _orders(spark, d)
     records = df.select(F.to_json(F.struct(*df.columns)).alias("value"))
     records.mapInPandas(_array_writer(), "value string").write.text(path)
-    return load_table(spark, path, "json").select(*df.columns)
+    return _dated(load_table(spark, path, "json")).select(*df.columns)
 
 
 @query("jsonl_roundtrip", f"SELECT {ORDER_COLUMNS} FROM orders")
 def jsonl_roundtrip(spark, d):
     df = _orders(spark, d)
     path = save_table(df, scratch_path(spark, "jsonl"), "jsonl")
-    return load_table(spark, path, "jsonl").select(*df.columns)
+    return _dated(load_table(spark, path, "jsonl")).select(*df.columns)
 
 
 @query(

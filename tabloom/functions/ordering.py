@@ -84,7 +84,11 @@ def running_totals(
 # --------------------------------------------------------------------------- seeded ranks
 def order_hash(key: list[str], seed: int) -> Column:
     """Hex digest that shuffles rows the same way however the table is partitioned."""
-    parts = [F.coalesce(col(k).cast("string"), F.lit("\u0000")) for k in key]
+    parts = []
+    for k in key:
+        # Each value's length goes before it, so that different rows cannot spell the same text.
+        text = col(k).cast("string")
+        parts.append(F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-")))
     return F.md5(F.concat_ws("-", *parts, F.lit(str(seed))))
 
 

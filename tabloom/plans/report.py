@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.errors import EvaluationError
@@ -55,8 +55,10 @@ def evaluation_tables(
     return tables
 
 
-def metric_label(name: str) -> str:
-    return M.METRIC_LABELS.get(name, name.replace("_", " ").title())
+def metric_label(name: str) -> Column:
+    """A metric's display name; one without a fixed name is spelled out from its words."""
+    known = F.create_map(*[F.lit(x) for pair in M.METRIC_LABELS.items() for x in pair])
+    return F.coalesce(known[col(name)], F.initcap(F.translate(name, "_", " ")))
 
 
 def report_rows(
@@ -95,7 +97,10 @@ def report_rows(
     extra = [("dataset", "Source", source)] if source else []
     if model:
         extra += [("model", k.title(), str(model[k])) for k in ("algorithm", "task", "target")]
-        extra += [("metrics", metric_label(k), f"{v:.4f}") for k, v in model.get("metrics", {}).items()]
+        measured = [(k, f"{v:.4f}") for k, v in model.get("metrics", {}).items()]
+        if measured:
+            table = spark.createDataFrame(measured, "metric string, value string")
+            parts.append(table.select(F.lit("metrics").alias("section"), metric_label("metric").alias("item"), "value"))
         cv = model.get("cv_scores") or {}
         extra += [("cross-validation", k, str(cv[k])) for k in ("cv_mean", "cv_std") if k in cv]
         extra += [("features", n, str(v)) for n, v in (model.get("feature_importance") or [])[:TOP_FEATURES]]

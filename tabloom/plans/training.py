@@ -24,26 +24,28 @@ from tabloom.errors import DataError, EvaluationError, ModelError
 from tabloom.functions.columns import col
 from tabloom.functions.storage import ensure_checkpoint_dir, spread, staged
 from tabloom.operators.features import PreprocessorModel, fit_preprocessor
-from tabloom.operators.metrics import class_distribution, compute_metrics, default_scoring, residuals
+from tabloom.operators.metrics import class_distribution, compute_metrics, residuals, task_metrics
 from tabloom.operators.split import holdout, kfold
 from tabloom.operators.validate import check_target, encode_labels
 from tabloom.plans.registry import ModelPlan, available_models, create_model
 
 MAX_CLASSES = 10_000
+# Scorer -> metric, sign, and the averaging over classes where the scorer prescribes one.
 SCORERS = {
-    "roc_auc": ("roc_auc", 1),
-    "roc_auc_ovr": ("roc_auc", 1),
-    "accuracy": ("accuracy", 1),
-    "precision": ("precision", 1),
-    "recall": ("recall", 1),
-    "f1": ("f1", 1),
-    "precision_macro": ("precision", 1),
-    "recall_macro": ("recall", 1),
-    "f1_macro": ("f1", 1),
-    "r2": ("r2", 1),
-    "neg_mean_absolute_error": ("mae", -1),
-    "neg_mean_squared_error": ("mse", -1),
-    "neg_root_mean_squared_error": ("rmse", -1),
+    "roc_auc": ("roc_auc", 1, None),
+    "roc_auc_ovr": ("roc_auc", 1, None),
+    "accuracy": ("accuracy", 1, None),
+    "balanced_accuracy": ("recall", 1, "macro"),
+    "precision": ("precision", 1, "binary"),
+    "recall": ("recall", 1, "binary"),
+    "f1": ("f1", 1, "binary"),
+    "precision_macro": ("precision", 1, "macro"),
+    "recall_macro": ("recall", 1, "macro"),
+    "f1_macro": ("f1", 1, "macro"),
+    "r2": ("r2", 1, None),
+    "neg_mean_absolute_error": ("mae", -1, None),
+    "neg_mean_squared_error": ("mse", -1, None),
+    "neg_root_mean_squared_error": ("rmse", -1, None),
 }
 _MODEL_CLASSES = {
     c.__name__: c
@@ -190,10 +192,17 @@ def _fit_one(plan, matrix, row, classes, seed):
 
 # --------------------------------------------------------------------------- evaluation
 def evaluate(
-    model: FittedModel, df: DataFrame, *, with_scores: bool = True, rows: int | None = None
+    model: FittedModel,
+    df: DataFrame,
+    *,
+    with_scores: bool = True,
+    rows: int | None = None,
+    average: str | None = None,
 ) -> dict[str, float]:
     """Metrics of a model on labelled rows; labels unknown to it count as errors.
 
+    ``average`` is binary or macro where the default for the number of classes is not wanted.
+
     ``with_scores=False`` leaves out the metrics that need class probabilities. ``rows``, where
     the caller knows it, lets a small table use all cores.
     """
@@ -212,6 +221,7 @@ def evaluate(
             model.task,
             classes=model.classes,
             probabilities=probabilities or None,
+            average=average,
         ).collect()
         return {r["metric"]: r["value"] for r in rows}
     finally:
@@ -221,14 +231,13 @@ def evaluate(
 def predict(model: FittedModel, df: DataFrame, id_column: str | None = None) -> DataFrame:
     """Id, predicted label and class probabilities for new rows.
 
-    Without an id column the digest of the row stands in for one: a distributed table has no row
-    number to fall back on.
+    Without an id column each row gets a number of its own, which depends on the partitioning. Rows of a
+    stream get a random id.
     """
     if id_column and id_column in df.columns:
         ident = col(id_column)
     else:
-        parts = [F.coalesce(col(c).cast("string"), F.lit("\u0000")) for c in df.columns]
-        ident = F.md5(F.concat_ws("-", *parts)).alias("id")
+        ident = (F.uuid() if df.isStreaming else F.monotonically_increasing_id()).alias("id")
     keep = [ident, F.col("prediction")]
     if model.task == "classification":
         keep.append(F.col("prediction_index"))
@@ -284,10 +293,12 @@ def cross_validate(
 
     ``parallelism`` folds run at a time, each keeping its feature matrix.
     """
-    scoring = scoring or default_scoring(plan.task)
+    scoring = scoring or task_metrics(plan.task).scoring
     if scoring not in SCORERS:
         raise EvaluationError(f"Unknown scoring '{scoring}'; there are {', '.join(SCORERS)}.")
-    metric, sign = SCORERS[scoring]
+    metric, sign, average = SCORERS[scoring]
+    if average == "binary" and len(classes or []) != 2:
+        raise EvaluationError(f"Scoring '{scoring}' needs two classes; {scoring}_macro takes more.")
     numbers = sorted(r[0] for r in df.select(fold).distinct().collect())
 
     def score(i) -> float:
@@ -301,7 +312,7 @@ def cross_validate(
             **feature_options,
         )
         held = model.preprocessor.rows // (len(numbers) - 1)
-        value = evaluate(model, df.where(col(fold) == i).drop(fold), rows=held).get(metric)
+        value = evaluate(model, df.where(col(fold) == i).drop(fold), rows=held, average=average).get(metric)
         if value is None:
             raise EvaluationError(f"Scoring '{scoring}' does not apply to fold {i}.")
         return sign * value
@@ -486,8 +497,7 @@ def train_model(
 
 def leaderboard(scores: DataFrame, task: str) -> DataFrame:
     """Models by accuracy or R², best first, from rows ``(model, <metrics>)``."""
-    primary = "accuracy" if task == "classification" else "r2"
-    order = [F.desc_nulls_last(primary), F.asc("model")]
+    order = [F.desc_nulls_last(task_metrics(task).ranking), F.asc("model")]
     # One row per model.
     return scores.withColumn("rank", F.row_number().over(Window.orderBy(*order))).orderBy("rank")
 
@@ -511,8 +521,7 @@ def compare_models(
     data_options, fit_options = _divide(options)
     data = prepare_data(df, target, task=task, facts=facts, **data_options)
     results = [train_prepared(data, n, (params or {}).get(n), **fit_options) for n in names]
-    second = "f1" if task == "classification" else "rmse"
-    first = "accuracy" if task == "classification" else "r2"
+    first, second = task_metrics(task).ranking, task_metrics(task).beside
     rows = [
         (r.model.algorithm, r.metrics.get(first), r.metrics.get(second), r.cv_scores.get("cv_mean"), r.duration_seconds)
         for r in results

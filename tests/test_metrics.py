@@ -79,8 +79,8 @@ def test_unknown_task(spark):
     with pytest.raises(EvaluationError):
         compute_metrics(frame(spark, [1], [1]), "bogus")
     with pytest.raises(EvaluationError):
-        M.default_scoring("bogus")
-    assert (M.default_scoring("classification"), M.default_scoring("regression")) == ("roc_auc_ovr", "r2")
+        M.task_metrics("bogus")
+    assert (M.task_metrics("classification").scoring, M.task_metrics("regression").scoring) == ("roc_auc_ovr", "r2")
 
 
 def test_cv_summary_uses_the_population_deviation(spark):

@@ -35,8 +35,12 @@ def test_names():
 def test_parameters(spark):
     plan = create_model("random_forest", "classification", {"n_estimators": 7})
     est = plan.estimator(rows=10)
-    assert est.getNumTrees() == 7 and est.getFeatureSubsetStrategy() == "sqrt" and est.getMaxDepth() == 10
-    assert create_model("random_forest", "regression", {"max_depth": 99}).estimator(rows=1).getMaxDepth() == 30
+    assert est.getNumTrees() == 7 and est.getFeatureSubsetStrategy() == "sqrt" and est.getMaxDepth() == 30
+    assert create_model("random_forest", "regression", {"max_depth": 9}).estimator(rows=1).getMaxDepth() == 9
+    with pytest.raises(ModelError, match="at most 30"):
+        create_model("random_forest", "regression", {"max_depth": 99})
+    with pytest.warns(UserWarning, match="n_jobs, solver"):
+        create_model("logistic_regression", "classification", {"solver": "liblinear", "n_jobs": 2})
     with pytest.warns(UserWarning, match="n_estimators"):
         plan = create_model("ridge", "regression", {"n_estimators": 5})
     assert plan.params == model_defaults("ridge")

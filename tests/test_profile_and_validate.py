@@ -131,7 +131,7 @@ def test_task_inference(spark):
     assert task(["cat", "dog"] * 10, "string") == "classification"
     assert task([True, False] * 10, "boolean") == "classification"
     df = spark.createDataFrame([(1, None)], "y int, z int")
-    for target, text in [(None, "No target"), ("nope", "not found"), ("y", "one unique"), ("z", "only missing")]:
+    for target, text in [(None, "no target"), ("nope", "no column"), ("y", "same value"), ("z", "no value")]:
         with pytest.raises(ValidationError, match=text):
             V.infer_task(df, target)
 
