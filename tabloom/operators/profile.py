@@ -44,18 +44,30 @@ def select_categorical(df: DataFrame) -> DataFrame:
     return df.select(*[col(c) for c in categorical_columns(df)])
 
 
+def row_digest(df: DataFrame) -> list[Column]:
+    """Two 64-bit hashes of a whole row; missing cells count, zeros of either sign are equal.
+
+    Hashing skips missing values, so which cells are missing is hashed as well.
+    """
+    cells = [col(c) for c in df.columns]
+    holes = F.concat(*[F.when(c.isNull(), "1").otherwise("0") for c in cells]) if cells else F.lit("")
+    return [F.xxhash64(holes, *cells), F.xxhash64(F.lit(7), *reversed(cells), holes)]
+
+
 def grouped_rows(df: DataFrame) -> DataFrame:
-    """Distinct rows with their number of copies ``n`` and missing cells ``nulls``.
+    """Distinct rows, known by their digest, with their number of copies ``n`` and missing cells ``nulls``.
 
-    Copies are combined before the shuffle, so a row repeated any number of times costs one
-    record per task.
+    Only digests are shuffled, whatever the rows hold, and copies are combined before: a row repeated
+    any number of times costs one short record per task.
     """
     require_flat(df)
     nulls = sum((col(c).isNull().cast("int") for c in df.columns), F.lit(0))
+    first, second = row_digest(df)
     return (
-        df.groupBy(*[col(c) for c in df.columns])
+        df.select(first.alias("_first"), second.alias("_second"), nulls.alias("_nulls"))
+        .groupBy("_first", "_second", "_nulls")
         .agg(F.count(F.lit(1)).alias("_n"))
-        .select("_n", nulls.alias("_nulls"))
+        .select("_n", "_nulls")
     )
 
 
