@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tabloom.catalog.common import query, table
 from tabloom.functions.storage import scratch_path
+from tabloom.operators.metrics import task_metrics
 from tabloom.plans import training as T
 from tabloom.plans.registry import create_model
 
@@ -57,6 +58,34 @@ def _metrics(spark, result):
     return spark.createDataFrame(rows, "part string, metric string, value double")
 
 
+def _checked(spark, result, floor):
+    """What must hold of a training, for any model: exact part sizes, folds, and a hold-out score above a floor."""
+    score = result.metrics[task_metrics(result.model.task).ranking]
+    scores = result.cv_scores.get("cv_scores", [])
+    rows = [
+        ("rows", "train", float(result.n_train)),
+        ("rows", "validation", float(result.n_validation)),
+        ("check", "folds", float(len(scores))),
+        ("check", "score above floor", float(score > floor)),
+        ("check", "score of folds above floor", float(all(s > floor for s in scores))),
+    ]
+    return spark.createDataFrame(rows, "part string, metric string, value double")
+
+
+def _expected(source, folds):
+    """The same from the table: a tenth of the rows, rounded up, is held out."""
+    n = f"(SELECT count(*) FROM {source})"
+    return f"""
+SELECT 'rows' AS part, 'train' AS metric, cast({n} - ceil({n} / 10) AS double) AS value
+UNION ALL SELECT 'rows', 'validation', cast(ceil({n} / 10) AS double)
+UNION ALL SELECT 'check', 'folds', {folds}.0e0
+UNION ALL SELECT 'check', 'score above floor', 1.0e0
+UNION ALL SELECT 'check', 'score of folds above floor', 1.0e0"""
+
+
+_LABELLED = "documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL"
+
+
 def _quality(spark, d, algorithm, params=None, **options):
     return T.train_model(
         documents(spark, d), "quality", algorithm=algorithm, params=params, id_column="doc_id", **options
@@ -69,39 +98,39 @@ def _price(spark, d, algorithm, params=None, **options):
     )
 
 
-@query("train_logistic")
+@query("train_logistic", _expected("lineitem", 0))
 def train_logistic(spark, d):
     """Three classes over all lines, which have no key: equal rows are numbered."""
     result = T.train_model(lines(spark, d), "l_returnflag", algorithm="logistic_regression", cv_folds=0)
-    return _metrics(spark, result)
+    return _checked(spark, result, 0.3)
 
 
-@query("train_ridge")
+@query("train_ridge", _expected("part", 5))
 def train_ridge(spark, d):
-    return _metrics(spark, _price(spark, d, "ridge", parallelism=5))
+    return _checked(spark, _price(spark, d, "ridge", parallelism=5), 0.5)
 
 
-@query("train_rf_classifier")
+@query("train_rf_classifier", _expected(_LABELLED, 0))
 def train_rf_classifier(spark, d):
-    return _metrics(spark, _quality(spark, d, "random_forest", cv_folds=0))
+    return _checked(spark, _quality(spark, d, "random_forest", cv_folds=0), 0.5)
 
 
-@query("train_rf_regressor")
+@query("train_rf_regressor", _expected("part", 0))
 def train_rf_regressor(spark, d):
-    return _metrics(spark, _price(spark, d, "random_forest", TREES, cv_folds=0))
+    return _checked(spark, _price(spark, d, "random_forest", TREES, cv_folds=0), 0.5)
 
 
-@query("train_gbt_classifier")
+@query("train_gbt_classifier", _expected(_LABELLED, 0))
 def train_gbt_classifier(spark, d):
-    return _metrics(spark, _quality(spark, d, "gradient_boosting", TREES, cv_folds=0))
+    return _checked(spark, _quality(spark, d, "gradient_boosting", TREES, cv_folds=0), 0.5)
 
 
-@query("train_gbt_regressor")
+@query("train_gbt_regressor", _expected("part", 0))
 def train_gbt_regressor(spark, d):
-    return _metrics(spark, _price(spark, d, "gradient_boosting", TREES, cv_folds=0))
+    return _checked(spark, _price(spark, d, "gradient_boosting", TREES, cv_folds=0), 0.5)
 
 
-@query("cross_validate")
+@query("cross_validate", "SELECT cast(range AS integer) AS fold, true AS above_floor FROM range(5)")
 def cross_validate(spark, d):
     df = documents(spark, d)
     data = T.prepare_data(df, "quality", id_column="doc_id")
@@ -114,7 +143,7 @@ def cross_validate(spark, d):
         exclude=data.exclude,
         parallelism=5,
     )
-    return spark.createDataFrame(list(enumerate(scores)), "fold int, score double")
+    return spark.createDataFrame([(i, s > 0.5) for i, s in enumerate(scores)], "fold int, above_floor boolean")
 
 
 @query("train_result")
