@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabloom.catalog.common import DIRTY_CUSTOMER, derived, duck, query, table
+from tabloom.catalog.common import DIRTY_CUSTOMER, ORACLES, derived, duck, query, table
+from tabloom.functions.storage import scratch_path
 from tabloom.operators import features as X
 from tabloom.operators import split as S
+from tabloom.sources.tables import save_splits
 
 # Parts with missing sizes and brands; p_name has more levels than a category may have.
 PARTS = """
@@ -207,6 +209,13 @@ def split_random(spark, d):
     return S.split(df, key=["o_orderkey"]).drop("o_orderstatus")
 
 
+@query("split_sink", ORACLES["split_random"])
+def split_sink(spark, d):
+    """The parts written as files, a folder each, and read back."""
+    path = save_splits(split_random(spark, d), scratch_path(spark, "parts"))
+    return spark.read.parquet(path).select("o_orderkey", "split")
+
+
 def _allocated(count, part, name, source):
     share = f"{count} * {part} / sum({count}) OVER ()"
     return f"""

@@ -9,6 +9,7 @@ from tabloom.functions.storage import scratch_path
 from tabloom.operators.metrics import task_metrics
 from tabloom.plans import training as T
 from tabloom.plans.registry import create_model
+from tabloom.sources.tables import load_table, save_table
 
 # Ten trees or rounds where the default of 200 takes minutes for each fit; README has the figures.
 TREES = {"n_estimators": 10}
@@ -209,6 +210,15 @@ def predict_scores(spark, d):
     )
 
 
+@query("predict_sink", "SELECT p_partkey, true AS has_prediction FROM part")
+def predict_sink(spark, d):
+    """Predictions of every part written as text and read back."""
+    model = _price(spark, d, "ridge", cv_folds=0).model
+    scored = T.predict(model, parts(spark, d).drop("price"), "p_partkey")
+    back = load_table(spark, save_table(scored, scratch_path(spark, "predictions"), "csv"), "csv")
+    return back.select("p_partkey", F.col("prediction").isNotNull().alias("has_prediction"))
+
+
 @query("predict_preview")
 def predict_preview(spark, d):
     model = _price(spark, d, "ridge", cv_folds=0).model

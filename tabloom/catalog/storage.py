@@ -301,6 +301,14 @@ def experiments_delete(spark, d):
     return R.without_deleted(df, deleted).select("id", "model")
 
 
+@query("experiments_delete_stored", f"SELECT id, model FROM ({_RUNS}) WHERE seq <> 7")
+def experiments_delete_stored(spark, d):
+    """One run deleted from the stored table."""
+    store = _stored(spark, d)
+    store.delete(spark.sql("SELECT substring(md5('7'), 1, 12) AS id").first()["id"])
+    return store.runs().select("id", "model")
+
+
 @query("experiments_export", _DECODED + "SELECT id, model, task, value FROM d")
 def experiments_export(spark, d):
     path = _stored(spark, d).export(scratch_path(spark, "export"))

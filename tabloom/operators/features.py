@@ -15,7 +15,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.errors import ConfigError
+from tabloom.errors import ConfigError, DataError
 from tabloom.functions.columns import col, is_numeric, require_flat
 from tabloom.functions.longform import value_counts
 from tabloom.functions.quantiles import quantiles
@@ -46,6 +46,7 @@ class _Profile:
     numbers: dict[str, dict[str, float]]
     levels: dict[str, list[str]]
     modes: dict[str, str]
+    wide: list[str]
 
 
 def _profile(df: DataFrame, exclude: list[str] | None, max_categories: int) -> _Profile:
@@ -98,7 +99,9 @@ def _profile(df: DataFrame, exclude: list[str] | None, max_categories: int) -> _
         categorical_columns=[f.name for f in fields if f.name in levels],
         dropped_columns=[f.name for f in fields if f.name not in usable],
     )
-    return _Profile(spec, row["rows"], numbers, levels, modes)
+    several = [f.name for i, f in enumerate(fields) if row[f"n{i}"] and row[f"lo{i}"] != row[f"hi{i}"]]
+    wide = [c for c in several if c not in numbers and c not in levels]
+    return _Profile(spec, row["rows"], numbers, levels, modes, wide)
 
 
 def feature_spec(
@@ -222,8 +225,13 @@ def fit_preprocessor(
     categorical_encoding: str = "onehot",
     handle_unknown: str = "ignore",
     exact: bool = True,
+    max_given_levels: int = 10_000,
 ) -> PreprocessorModel:
-    """Fit imputers, scaler and encoder on a frame."""
+    """Fit imputers, scaler and encoder on a frame.
+
+    Levels become part of the fitted step: ``max_categories`` leaves out columns with more, and with a
+    given ``spec`` a column with more than ``max_given_levels`` is refused.
+    """
     if scaler not in SCALERS:
         raise ConfigError(f"scaler '{scaler}' is none of {', '.join(SCALERS)}.")
     if categorical_encoding not in ENCODINGS:
@@ -235,7 +243,9 @@ def fit_preprocessor(
         facts = _profile(df, exclude, max_categories)
         spec = facts.spec
     else:
-        facts = _profile(df.select(*[col(c) for c in spec.feature_columns]), None, 2**31)
+        facts = _profile(df.select(*[col(c) for c in spec.feature_columns]), None, max_given_levels)
+        if wide := [c for c in spec.categorical_columns if c in facts.wide]:
+            raise DataError(f"Columns {', '.join(wide)} have more than {max_given_levels} levels to encode.")
     numeric = [c for c in spec.numeric_columns if c in facts.numbers]
     counts = {c: facts.numbers[c]["count"] for c in numeric}
     median = {c: v[0] for c, v in quantiles(df, numeric, [0.5], counts=counts, exact=exact).items()}

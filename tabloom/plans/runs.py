@@ -85,7 +85,9 @@ class RunTable:
     def _part(self, name: str, schema: str) -> DataFrame:
         try:
             return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
-        except AnalysisException:
+        except AnalysisException as exc:
+            if exc.getCondition() != "PATH_NOT_FOUND":
+                raise RunError(f"The runs in '{self.path}' cannot be read: {exc}") from exc
             return self.spark.createDataFrame([], schema)
 
     def runs(self) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import time
 from dataclasses import dataclass, field
+from datetime import date, datetime
+from decimal import Decimal
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
@@ -533,6 +535,23 @@ def compare_models(
 
 
 # --------------------------------------------------------------------------- persistence
+_TEXT_TYPES = {Decimal: "decimal(38,18)", datetime: "timestamp", date: "date"}
+
+
+def _classes_as_text(classes: list | None) -> dict:
+    """Classes as JSON can hold them, and the type of those that it holds as text."""
+    kind = _TEXT_TYPES.get(type(classes[0])) if classes else None
+    return {"classes": [str(c) for c in classes] if kind else classes, "class_type": kind}
+
+
+def _classes_from_text(spark: SparkSession, meta: dict) -> list | None:
+    kind, classes = meta.get("class_type"), meta["classes"]
+    if not kind:
+        return classes
+    cast = [F.lit(c).cast(kind).alias(f"c{i}") for i, c in enumerate(classes)]
+    return list(spark.range(1).select(*cast).first())
+
+
 def save_model(spark: SparkSession, result: TrainingResult, path: str, *, overwrite: bool = False) -> str:
     """Estimators, preprocessing parameters and metadata under one folder."""
     m = result.model
@@ -541,7 +560,7 @@ def save_model(spark: SparkSession, result: TrainingResult, path: str, *, overwr
         "algorithm": m.algorithm,
         "task": m.task,
         "target": m.target,
-        "classes": m.classes,
+        **_classes_as_text(m.classes),
         "feature_names": result.feature_names,
         "metrics": result.metrics,
         "cv_scores": result.cv_scores,
@@ -579,7 +598,7 @@ def load_model(spark: SparkSession, path: str) -> tuple[FittedModel, dict]:
         meta["target"],
         PreprocessorModel.from_json(meta["preprocessor"]),
         models,
-        meta["classes"],
+        _classes_from_text(spark, meta),
     )
     return model, meta
 

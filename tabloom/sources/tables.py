@@ -74,7 +74,10 @@ def _read_json(spark: SparkSession, path: str, document: bool, schema) -> DataFr
     if schema is not None:
         reader = reader.schema(schema)
     df = reader.json(path, multiLine=document)
-    if document and df.columns and all(isinstance(f.dataType, T.StructType) for f in df.schema):
+    # Such a document has, under each column, values by row number.
+    if document and df.columns and all(
+        isinstance(f.dataType, T.StructType) and all(n.isdigit() for n in f.dataType.names) for f in df.schema
+    ):
         raise DataError(
             f"'{path}' is a column-oriented JSON document; only an array of records can be read."
         )

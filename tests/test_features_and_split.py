@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tabloom import feature_spec, fit_preprocessor, holdout, kfold, split
 from tabloom.errors import ConfigError, DataError
 from tabloom.functions import ordering as O
-from tabloom.operators.features import PreprocessorModel
+from tabloom.operators.features import FeatureSpec, PreprocessorModel
 
 
 @pytest.fixture(scope="module")
@@ -151,3 +151,11 @@ def test_running_totals_in_buckets(spark, descending):
     plain = O.running_totals(df, "x", ["n"], descending=descending)
     split_up = O.running_totals(df, "x", ["n"], bounds=bounds, descending=descending)
     assert sorted(plain.collect()) == sorted(split_up.collect())
+
+
+def test_given_spec_bounds_the_levels(spark):
+    wide = spark.range(300).select(F.concat(F.lit("v"), "id").alias("c"), F.col("id").cast("double").alias("x"))
+    spec = FeatureSpec(numeric_columns=["x"], categorical_columns=["c"])
+    assert len(fit_preprocessor(wide, spec).levels["c"]) == 300
+    with pytest.raises(DataError, match="more than 100 levels"):
+        fit_preprocessor(wide, spec, max_given_levels=100)

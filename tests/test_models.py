@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+import json
+from datetime import date
+from decimal import Decimal
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -152,3 +156,21 @@ def test_tables_that_apply(spark, customers, forest):
     assert set(evaluation_tables(scored, "classification", classes=[0, 1], probabilities=forest.model.probability_columns)) == {
         "confusion_matrix", "roc_curve"
     }
+
+
+def test_macro_scoring_on_two_classes(customers):
+    """Each scorer has its own averaging: macro and binary scores differ on unequal classes."""
+    data = T.prepare_data(customers, "churn", id_column="customer_id", cv_folds=2)
+    plan = create_model("logistic_regression", "classification", {"max_iter": 20})
+    scores = {
+        s: T.cross_validate(data.folded, "churn", plan, classes=data.classes, fold="_fold", exclude=data.exclude, scoring=s)
+        for s in ("f1", "f1_macro", "recall_macro", "balanced_accuracy")
+    }
+    assert scores["f1"] != scores["f1_macro"] and scores["recall_macro"] == scores["balanced_accuracy"]
+    with pytest.raises(EvaluationError, match="two classes"):
+        T.cross_validate(data.folded, "churn", plan, classes=[0, 1, 2], fold="_fold", scoring="f1")
+
+
+def test_classes_of_any_type_are_stored(spark):
+    for classes in ([Decimal("1.50"), Decimal("2.00")], [date(2020, 1, 1), date(2021, 1, 1)], ["a", "b"], [0, 1]):
+        assert T._classes_from_text(spark, json.loads(json.dumps(T._classes_as_text(classes)))) == classes

@@ -101,6 +101,8 @@ def test_json(spark, tmp_path):
     assert rows(df) == [(1, "x"), (2, None)]
     df = load_table(spark, write(tmp_path, "a.jsonl", '{"a": 1}\n{"a": 2}\n'))
     assert rows(df) == [(1,), (2,)]
+    df = load_table(spark, write(tmp_path, "c.json", '[{"a": {"x": 1}, "b": {"y": 2}}]'))
+    assert [r.a.x for r in df.collect()] == [1]
     with pytest.raises(DataError, match="column-oriented"):
         load_table(spark, write(tmp_path, "b.json", '{"a": {"0": 1}, "b": {"0": 2}}'))
 
