@@ -32,7 +32,7 @@ from tabloom.llm.batches import add_columns
 #: Bytes up to which a piece is merged directly; longer ones are halved.
 LEAF_BYTES = 32
 #: Remembered encodings in a task; beyond it the memory is emptied and filled again.
-MEMORY = 300_000
+MEMORY = 200_000
 _NEVER = 1 << 60
 _ENDS_IN_SPACE_RUN = re.compile(r" (?=\s|\Z)")
 _WORD_START = re.compile(r" (?=\S)")

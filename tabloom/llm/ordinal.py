@@ -43,7 +43,7 @@ REJECT_AT = 0.3
 #: Letters of the word beginnings.
 BEGINNINGS = (4, 5, 6)
 _WORDS = re.compile(r"\w+")
-_MEMORY = 400_000
+_MEMORY = 200_000
 
 
 def features(part: str) -> list[str]:

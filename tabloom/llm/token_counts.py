@@ -24,7 +24,7 @@ from tabloom.llm.batches import add_columns
 #: Texts with more bytes are handled in segments of about this size.
 SEGMENT_BYTES = 4 << 20
 #: Remembered counts in a task; beyond it the memory is emptied and filled again.
-MEMORY = 500_000
+MEMORY = 300_000
 MARK = "▁"
 _SAFE = re.compile(f"(?<=[^ {MARK}]) (?=[^ {MARK}])")
 
