@@ -12,6 +12,10 @@ taken up again, so texts that decode to themselves end. Each layer keeps, for ea
 the source characters it came from, so a secret found deep inside maps to a span of the original text.
 What was unpacked maps to the whole packed run.
 
+A base64 run goes on over line ends and indentation, also line ends written as ``\n``, and is decoded from
+each of its first four characters. So every start in it is tried: what stands before the encoded text
+without a gap, such as a path or the word that ends the line above, does not hide it.
+
 Spans are ``kind:start:end`` in code points, end exclusive, ordered by start, then kind as listed above,
 then end. ``base`` spans come from the text itself. Decoded finds are added unless a base span of the
 same kind holds them.
@@ -29,7 +33,7 @@ import html
 import lzma
 import re
 import zlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -52,11 +56,17 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 _MAY_ASSIGN = r"(?i)(password|passwd|secret|token|api_?key)[\"']? *[:=]"
 _MAY_ACCESS = r"AKIA[A-Z0-9]{12}"
 _MAY_HEX = r"[0-9a-f]{32}"
-_MAY_DECODE = r"%[0-9A-Fa-f]{2}|\\[uUx][0-9A-Fa-f{]|&#[0-9xX]|[A-Za-z0-9+/_-]{16}"
+_MAY_DECODE = r"%[0-9A-Fa-f]{2}|\\[uUx][0-9A-Fa-f{]|&#[0-9xX]|[A-Za-z0-9+/_-]{16}|[A-Za-z0-9+/_-][ \t]*(?:[\r\n]|\\[rn])"
 
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+#: What a base64 run goes on over.
+_BREAK = re.compile(r"[ \t]*+(?:\r\n|\r|\n|\\r\\n|\\n)[ \t]*+")
+_BASE64 = re.compile(
+    rf"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{{16,}}+|[A-Za-z0-9+/_-]++(?={_BREAK.pattern}[A-Za-z0-9+/_-]))"
+    rf"(?:{_BREAK.pattern}[A-Za-z0-9+/_-]++)*+={{0,2}}"
+)
+_LEAST = 16
 #: Bytes unpacked from one packed run; a longer one is reported as cut in ``n_cut``.
 UNPACK_BYTES = 64 << 20
 
@@ -170,7 +180,7 @@ def _readable(data: bytes) -> str | None:
 
 def _run_bytes(run: str) -> tuple[bytes, bool, bool]:
     """The bytes of a base64 run, unpacked until they are not packed; whether they were, and were cut."""
-    body = run.rstrip("=").replace("-", "+").replace("_", "/")
+    body = run.replace("-", "+").replace("_", "/")
     body = body[: len(body) - (len(body) % 4 == 1)]
     data, packed, cut = base64.b64decode(body + "=" * (-len(body) % 4)), False, False
     seen: set[bytes] = set()
@@ -180,31 +190,41 @@ def _run_bytes(run: str) -> tuple[bytes, bool, bool]:
     return data, packed, cut
 
 
-def _packed(layer: Layer, cut: list[int]) -> list[Layer]:
-    """A layer of its own for each base64 run that spells text or packed data."""
-    layers = []
+def _joined(text: str, start: int, end: int) -> tuple[str, np.ndarray]:
+    """The base64 characters of a run without its line ends and padding, and the place of each."""
+    parts, places, at = [], [], start
+    for m in _BREAK.finditer(text, start, end):
+        parts.append(text[at : m.start()])
+        places.append(np.arange(at, m.start()))
+        at = m.end()
+    parts.append(text[at:end].rstrip("="))
+    places.append(np.arange(at, at + len(parts[-1])))
+    return "".join(parts), np.concatenate(places)
+
+
+def _packed(layer: Layer, cut: list[int]) -> Iterator[Layer]:
+    """A layer of its own for each base64 run and start in it that spells text or packed data."""
     for m in _BASE64.finditer(layer.text):
-        data, packed, was_cut = _run_bytes(m[0])
-        text = _readable(data)
-        if text is None:
-            continue
-        cut[0] += was_cut
-        if packed:
-            low, high = layer.span(m.start(), m.end())
-            layers.append(Layer(text, np.full(len(text), low), np.full(len(text), high)))
-        else:
-            # Byte i comes from the base64 characters that hold its bits; a character from all its bytes.
-            first = np.cumsum([0, *(len(c.encode()) for c in text)])[:-1] if not text.isascii() else np.arange(len(text))
-            last = np.append(first[1:], len(data)) - 1
-            starts, ends = m.start() + first * 8 // 6, m.start() + (last * 8 + 7) // 6
-            layers.append(Layer(text, layer.starts[starts], layer.ends[ends]))
-    return layers
+        run, places = _joined(layer.text, m.start(), m.end())
+        for skip in range(4) if len(run) >= _LEAST else ():
+            data, packed, was_cut = _run_bytes(run[skip:])
+            text = _readable(data)
+            if text is None:
+                continue
+            cut[0] += was_cut
+            if packed:
+                low, high = layer.span(m.start() + skip, m.end())
+                yield Layer(text, np.full(len(text), low), np.full(len(text), high))
+            else:
+                # Byte i comes from the base64 characters that hold its bits; a character from all its bytes.
+                first = np.cumsum([0, *(len(c.encode()) for c in text)])[:-1] if not text.isascii() else np.arange(len(text))
+                last = np.append(first[1:], len(data)) - 1
+                starts, ends = places[skip + first * 8 // 6], places[skip + (last * 8 + 7) // 6]
+                yield Layer(text, layer.starts[starts], layer.ends[ends])
 
 
 def decoded_spans(text: str) -> tuple[set[tuple[int, int, int]], int, int]:
     """Spans found in decoded layers, the number of layers, and the unpacked runs that were cut."""
-    if not any(c in text for c in ("%", "\\", "&#")) and all(_readable(_run_bytes(m[0])[0]) is None for m in _BASE64.finditer(text)):
-        return set(), 0, 0
     places = np.arange(len(text) + 1)
     work = [Layer(text, places[:-1], places[1:])]
     seen: set[tuple[str, int, int]] = {(text, 0, len(text))}
@@ -212,7 +232,7 @@ def decoded_spans(text: str) -> tuple[set[tuple[int, int, int]], int, int]:
     layers, cut = 0, [0]
     while work:
         layer = work.pop()
-        new = [x for x in (_url(layer), _unicode(layer)) if x] + _packed(layer, cut)
+        new = [x for x in (_url(layer), _unicode(layer)) if x] + [*_packed(layer, cut)]
         for inner in new:
             if not inner.text:
                 continue

@@ -100,3 +100,27 @@ def test_scan_texts_and_redact(spark):
     assert left[None] == "row without id" and left[0] is None and left[2] == 'a [secret]" b' and left[5] == "plain words"
     assert "hunter2" not in "".join(t or "" for t in left.values()) and left[4] == "[secret] [secret]"
     assert secret_scan.scan_texts(documents(spark, empty=True)).count() == secret_scan.redact(documents(spark, empty=True)).count() == 0
+
+
+def wrapped(data, width, gap):
+    run = base64.b64encode(data).decode()
+    return gap.join(run[i : i + width] for i in range(0, len(run), width))
+
+
+@pytest.mark.parametrize("gap", ["\n", "\r\n", "\n    ", "\\n"])
+@pytest.mark.parametrize("width", [76, 12])
+def test_base64_goes_on_over_line_ends(gap, width):
+    said = b"lorem ipsum dolor sit amet, consectetur adipiscing elit, " + SECRET.encode() + b" " + ACCESS.encode()
+    plain_, text = wrapped(said, width, gap), "see" + gap + wrapped(said, width, gap) + " end"
+    base, spans, _, _ = secret_scan.scan(text)
+    assert base == [] and {k for _, k, _ in spans} == {0, 1} and text.index(plain_) <= min(s for s, _, _ in spans)
+    assert "" == re.sub(r"[A-Za-z0-9+/=\s\\]", "", "".join(spelled(text, spans)))
+    packed = wrapped(gzip.compress(random.Random(5).randbytes(200).hex().encode()[:31] + b" " + said), width, gap)
+    assert set(spelled(packed, secret_scan.scan(packed)[1])) == {packed}
+
+
+@pytest.mark.parametrize("before", ["id_", "x", "abc"])
+def test_base64_glued_to_what_stands_before(before):
+    text = before + base64.b64encode(SECRET.encode()).decode()
+    ((start, kind, _),) = secret_scan.scan(text)[1]
+    assert kind == 0 and start == len(before)
