@@ -12,6 +12,9 @@ taken up again, so texts that decode to themselves end. Each layer keeps, for ea
 the source characters it came from, so a secret found deep inside maps to a span of the original text.
 What was unpacked maps to the whole packed run.
 
+Decoded bytes are scanned whatever else they hold: as UTF-8 where they are, else byte by byte, and ASCII
+in two or four bytes a character (UTF-16, UTF-32) as a layer of its own.
+
 A base64 run goes on over line ends and indentation, also line ends written as ``\n``, and is decoded from
 each of its first four characters. So every start in it is tried: what stands before the encoded text
 without a gap, such as a path or the word that ends the line above, does not hide it.
@@ -56,7 +59,7 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 _MAY_ASSIGN = r"(?i)(password|passwd|secret|token|api_?key)[\"']? *[:=]"
 _MAY_ACCESS = r"AKIA[A-Z0-9]{12}"
 _MAY_HEX = r"[0-9a-f]{32}"
-_MAY_DECODE = r"%[0-9A-Fa-f]{2}|\\[uUx][0-9A-Fa-f{]|&#[0-9xX]|[A-Za-z0-9+/_-]{16}|[A-Za-z0-9+/_-][ \t]*(?:[\r\n]|\\[rn])"
+_MAY_DECODE = r"%[0-9A-Fa-f]{2}|\\[uUx][0-9A-Fa-f{]|&#[0-9xX]|[A-Za-z0-9+/_-]{16}|[A-Za-z0-9+/_-][ \t]*(?:[\r\n]|\\[rn])|\x00"
 
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});")
@@ -170,12 +173,29 @@ def _unpacked(data: bytes) -> tuple[bytes, bool] | None:
     return None
 
 
-def _readable(data: bytes) -> str | None:
+#: A decoded layer that is no readable text is taken up if it holds a base kind's beginning or something to decode.
+_MAY = re.compile(
+    rb"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]{12}|[0-9a-f]{32}|%[0-9A-Fa-f]{2}|\\[uUx][0-9A-Fa-f{]|&#[0-9xX]"
+    rb"|[A-Za-z0-9+/_-]{16}|(?:[A-Za-z0-9+/_-]{4,}[ \t]*(?:\r?\n|\\n)[ \t]*){2}|(?:[\x20-\x7e\t\r\n]\x00{1,3}){7}"
+)
+_WIDE = re.compile("(?:[^\x00]\x00){7,}[^\x00]?|(?:[^\x00]\x00{3}){7,}[^\x00]?")
+
+
+def _text(data: bytes) -> str | None:
+    """Bytes as text: UTF-8, else a character for each byte; None if there is nothing to find in them."""
     try:
         text = data.decode()
     except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\r\n" for c in text) else None
+        return data.decode("latin-1") if _MAY.search(data) else None
+    return text if text and (all(c.isprintable() or c in "\t\r\n" for c in text) or _MAY.search(data)) else None
+
+
+def _wide(layer: Layer) -> Iterator[Layer]:
+    """A layer for each stretch of characters with one or three NULs between them."""
+    if "\x00" in layer.text:
+        for m in _WIDE.finditer(layer.text):
+            places = m.start() + np.flatnonzero(np.frombuffer(m[0].encode("utf-32-le"), np.uint32))
+            yield Layer(m[0].replace("\x00", ""), layer.starts[places], layer.ends[places])
 
 
 def _run_bytes(run: str) -> tuple[bytes, bool, bool]:
@@ -203,12 +223,12 @@ def _joined(text: str, start: int, end: int) -> tuple[str, np.ndarray]:
 
 
 def _packed(layer: Layer, cut: list[int]) -> Iterator[Layer]:
-    """A layer of its own for each base64 run and start in it that spells text or packed data."""
+    """A layer of its own for each base64 run and start in it that spells text, anything to find, or packed data."""
     for m in _BASE64.finditer(layer.text):
         run, places = _joined(layer.text, m.start(), m.end())
         for skip in range(4) if len(run) >= _LEAST else ():
             data, packed, was_cut = _run_bytes(run[skip:])
-            text = _readable(data)
+            text = _text(data)
             if text is None:
                 continue
             cut[0] += was_cut
@@ -217,7 +237,7 @@ def _packed(layer: Layer, cut: list[int]) -> Iterator[Layer]:
                 yield Layer(text, np.full(len(text), low), np.full(len(text), high))
             else:
                 # Byte i comes from the base64 characters that hold its bits; a character from all its bytes.
-                first = np.cumsum([0, *(len(c.encode()) for c in text)])[:-1] if not text.isascii() else np.arange(len(text))
+                first = np.cumsum([0, *(len(c.encode()) for c in text)])[:-1] if len(text) < len(data) else np.arange(len(text))
                 last = np.append(first[1:], len(data)) - 1
                 starts, ends = places[skip + first * 8 // 6], places[skip + (last * 8 + 7) // 6]
                 yield Layer(text, layer.starts[starts], layer.ends[ends])
@@ -232,7 +252,7 @@ def decoded_spans(text: str) -> tuple[set[tuple[int, int, int]], int, int]:
     layers, cut = 0, [0]
     while work:
         layer = work.pop()
-        new = [x for x in (_url(layer), _unicode(layer)) if x] + [*_packed(layer, cut)]
+        new = [x for x in (_url(layer), _unicode(layer)) if x] + [*_wide(layer), *_packed(layer, cut)]
         for inner in new:
             if not inner.text:
                 continue

@@ -119,8 +119,25 @@ def test_base64_goes_on_over_line_ends(gap, width):
     assert set(spelled(packed, secret_scan.scan(packed)[1])) == {packed}
 
 
-@pytest.mark.parametrize("before", ["id_", "x", "abc"])
+@pytest.mark.parametrize("before", ["https://host.example/v1/", "https://host.example/v12/", "id_", "key-ab-", "x", "abc"])
 def test_base64_glued_to_what_stands_before(before):
     text = before + base64.b64encode(SECRET.encode()).decode()
     ((start, kind, _),) = secret_scan.scan(text)[1]
     assert kind == 0 and start == len(before)
+
+
+@pytest.mark.parametrize("around", ["\ufeff%s", "a\u00a0%s", "\u200d%s", "\0%s\0", "\f%s"])
+def test_layers_with_unprintable_characters(around):
+    data = (around % f"{SECRET} {ACCESS}").encode()
+    for run in (base64.b64encode(data).decode(), base64.b64encode(gzip.compress(data)).decode()):
+        assert {k for _, k, _ in secret_scan.scan(f"a {run} b")[1]} == {0, 1}
+
+
+@pytest.mark.parametrize("data", [
+    b"\x00\xff\x8b" + SECRET.encode() + b"\xfe", SECRET.encode("utf-16"), SECRET.encode("utf-16-be"), SECRET.encode("utf-32"), b"\xff" + SECRET.encode("utf-16-le"),
+    b"\xff\xfe" + base64.b64encode(SECRET.encode("utf-16-le")) + b"\xff",
+])
+def test_layers_that_are_not_utf8(data):
+    for run in (base64.b64encode(data).decode(), base64.b64encode(zlib.compress(data)).decode()):
+        spans = secret_scan.scan(f"a {run} b")[1]
+        assert {k for _, k, _ in spans} == {0} and all(2 <= a < b <= 2 + len(run) for a, _, b in spans)
