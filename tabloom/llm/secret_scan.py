@@ -6,8 +6,11 @@ Every layer is scanned for the base kinds:
 * ``access``: ``AKIA`` and capitals or digits, 16 characters or more together;
 * ``hex``: 32 or more hexadecimal digits.
 
-A layer's runs of URL escapes, Unicode escapes and base64 are decoded into new layers; bytes that begin
-as gzip, zlib, bzip2, xz or zstandard data are unpacked. A layer seen before at the same place is not
+A layer's runs of URL escapes, Unicode escapes and base64 are decoded into new layers; gzip, zlib, bzip2,
+xz or zstandard data anywhere in the bytes that base64, percent or backslash escapes spell are unpacked, all
+members as one stream. It is scanned in windows of ``UNPACK_BYTES`` that overlap and keep an encoded run whole.
+An encoded run longer than a window may hold packed data that is not read to its end: ``n_cut`` counts the
+runs of the text that hold one, and ``redact`` masks them whole. A layer seen before at the same place is not
 taken up again, so texts that decode to themselves end. Each layer keeps, for each of its characters,
 the source characters it came from, so a secret found deep inside maps to a span of the original text.
 What was unpacked maps to the whole packed run.
@@ -36,7 +39,8 @@ import html
 import lzma
 import re
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Generator, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -70,8 +74,10 @@ _BASE64 = re.compile(
     rf"(?:{_BREAK.pattern}[A-Za-z0-9+/_-]++)*+={{0,2}}"
 )
 _LEAST = 16
-#: Bytes unpacked from one packed run; a longer one is reported as cut in ``n_cut``.
+#: Bytes of unpacked data that are scanned at a time, those of them scanned again with the next ones, and bytes of one step.
 UNPACK_BYTES = 64 << 20
+_OVERLAP = 1 << 20
+_PIECE = 1 << 20
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -88,6 +94,15 @@ class Layer:
     def __init__(self, text: str, starts: np.ndarray, ends: np.ndarray):
         self.text, self.starts, self.ends = text, starts, ends
 
+    @classmethod
+    def whole(cls, text: str, low: int, high: int) -> Layer:
+        """A layer of which every character comes from the same source."""
+        return cls(text, np.broadcast_to(np.int64(low), len(text)), np.broadcast_to(np.int64(high), len(text)))
+
+    @property
+    def flat(self) -> bool:
+        return self.starts.strides == (0,)
+
     def span(self, start: int, end: int) -> tuple[int, int]:
         return int(self.starts[start:end].min()), int(self.ends[start:end].max())
 
@@ -95,6 +110,11 @@ class Layer:
 def _spliced(layer: Layer, pieces: list[tuple[int, int, str]]) -> Layer:
     """The layer with (start, end) ranges replaced; new characters map to their whole range."""
     out, starts, ends, at = [], [], [], 0
+    if layer.flat:
+        for start, end, new in pieces:
+            out += [layer.text[at:start], new]
+            at = end
+        return Layer.whole("".join(out) + layer.text[at:], int(layer.starts[0]), int(layer.ends[0]))
     for start, end, new in pieces:
         out += [layer.text[at:start], new]
         low, high = layer.span(start, end)
@@ -147,30 +167,159 @@ def _surrogates(text: str, pieces: list[tuple[int, int, str]]) -> list[tuple[int
     return sorted(pieces + pairs) if pairs else pieces
 
 
-def _unpacked(data: bytes) -> tuple[bytes, bool] | None:
-    """What packed bytes hold, and whether it was cut; None if they are not packed."""
+_MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
+
+
+@dataclass
+class Packed:
+    """A window of unpacked bytes, the source they come from, and whether the data goes on after it."""
+
+    data: bytes
+    low: int
+    high: int
+    more: bool
+
+
+def _unpack(data: bytes, at: int) -> Generator[bytes, None, tuple[int, bool]]:
+    """Pieces of what is packed at a place; returns where it ends, and whether the data ended before it did."""
+    start, step = at, min(_PIECE, UNPACK_BYTES)
+    zstd = data[at] == 0x28
     try:
-        if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 2 and (data[0] << 8 | data[1]) % 31 == 0:
-            unpack = zlib.decompressobj(47)
-            return unpack.decompress(data, UNPACK_BYTES), bool(unpack.unconsumed_tail)
-        if data[:3] == b"BZh":
-            unpack = bz2.BZ2Decompressor()
-            return unpack.decompress(data, UNPACK_BYTES), not unpack.eof
-        if data[:6] == b"\xfd7zXZ\x00":
-            unpack = lzma.LZMADecompressor()
-            return unpack.decompress(data, UNPACK_BYTES), not unpack.eof
-        if data[:4] == b"\x28\xb5\x2f\xfd":
+        if zstd:
             import zstandard
 
-            with zstandard.ZstdDecompressor().stream_reader(data) as reader:
-                return (out := reader.read(UNPACK_BYTES)), len(out) == UNPACK_BYTES
+            unpack = zstandard.ZstdDecompressor().decompressobj()
+        else:
+            unpack = {0x42: bz2.BZ2Decompressor, 0xFD: lzma.LZMADecompressor}.get(data[at], lambda: zlib.decompressobj(47))()
+        size = 512 if zstd else 1 << 16  # 512 bytes of zstandard data hold less than 128 blocks of 128 KB
+        while at < len(data):
+            rest = data[at : at + size]
+            at += len(rest)
+            while True:
+                if piece := unpack.decompress(rest) if zstd else unpack.decompress(rest, step):
+                    yield piece
+                if unpack.eof:
+                    return at - len(unpack.unused_data), False
+                rest = getattr(unpack, "unconsumed_tail", b"")
+                if not rest and getattr(unpack, "needs_input", True):
+                    break
+        if hasattr(unpack, "unconsumed_tail") and (piece := unpack.flush()):
+            yield piece
+        return at, True
     except (zlib.error, OSError, EOFError, lzma.LZMAError):
-        return None
+        return start + 1, False
     except Exception as problem:  # zstandard's error class exists only with the library
         if type(problem).__name__ == "ZstdError":
-            return None
+            return start + 1, False
         raise
-    return None
+
+
+_IN_RUN = np.isin(np.arange(256), np.frombuffer(b"+/_-=%\\ \t\r\n", np.uint8))
+_IN_RUN[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+
+
+def _windows(data: bytes, more: bool, missed: Callable[[int], None], read: list | None = None) -> Iterator[tuple[int, bytes, bool]]:
+    """(place, window, whether more follows) of what is packed in some bytes, all members as one stream.
+
+    ``missed`` gets the place of data that may hold something packed that is not read to its end, ``read``
+    the (start, end) of each member that was.
+    """
+    at, first, held = 0, -1, bytearray()
+    while m := _MAGIC.search(data, at):
+        source = _unpack(data, m.start())
+        while True:
+            try:
+                held += next(source)
+            except StopIteration as end:
+                at, short = max(end.value[0], m.start() + 1), end.value[1]
+                break
+            first = m.start() if first < 0 else first
+            while len(held) > UNPACK_BYTES:
+                window = bytes(held[:UNPACK_BYTES])
+                outside = ~_IN_RUN[np.frombuffer(window, np.uint8)[::-1]]
+                run = int(outside.argmax()) if outside.any() else 0
+                if not run and not outside.any():
+                    missed(first)
+                yield first, window, True
+                del held[: UNPACK_BYTES - max(run, min(_OVERLAP, UNPACK_BYTES // 2))]
+        if short and more:
+            missed(m.start())
+        if read is not None and not short and at > m.start() + 1:
+            read.append((m.start(), at))
+    if held:
+        yield first, bytes(held), False
+
+
+def _of_bytes(data: bytes, source, high: int, more: bool, cut: set[tuple[int, int]]) -> Generator[Layer | Packed, None, bool]:
+    """Some bytes as text, and what is packed in them; returns whether there is nothing else in them.
+
+    ``source`` gives where (first, last) bytes begin and end in the original, or is the place where all begin.
+    """
+    low = lambda at: source if isinstance(source, int) else int(source(np.array([at]), np.array([at]))[0][0])
+    read: list[tuple[int, int]] = []
+    for at, window, goes_on in _windows(data, more, lambda at: cut.add((low(at), high)), read):
+        yield Packed(window, low(at), high, goes_on)
+    # What was unpacked is not text besides.
+    if read:
+        rest = bytearray(data)
+        for start, end in read:
+            rest[start:end] = b"\n" * (end - start)
+        data = bytes(rest)
+    text = _text(data) if not read or data.strip(b"\n") else None
+    if text is not None and isinstance(source, int):
+        yield Layer.whole(text, source, high)
+    elif text is not None:
+        first = np.cumsum([0, *(len(c.encode()) for c in text)])[:-1] if len(text) < len(data) else np.arange(len(text))
+        yield Layer(text, *source(first, np.append(first[1:], len(data)) - 1))
+    return bool(read) and not data.strip(b"\n")
+
+
+_PERCENT = re.compile("%([0-9A-Fa-f]{2})")
+_BACKSLASH = re.compile(r"""\\(?:[xX]([0-9A-Fa-f]{2})|u00([0-9A-Fa-f]{2})|([0-3]?[0-7]{1,2})|([abfnrtv\\'"]))""")
+_CONTROL = dict(zip("abfnrtv\\'\"", "\a\b\f\n\r\t\v\\'\""))
+
+
+def _escape(m: re.Match) -> str:
+    if m.re is _BACKSLASH and m[4]:
+        return _CONTROL[m[4]]
+    return chr(int(m[3], 8) if m.re is _BACKSLASH and m[3] else int(next(g for g in m.groups() if g), 16))
+
+
+def _raw(layer: Layer, cut: set[tuple[int, int]]) -> Iterator[Packed]:
+    """What is packed in the bytes that percent or backslash escapes of a line spell beside its other characters."""
+    for line in re.finditer(r"[^\r\n]+", layer.text) if "%" in layer.text or "\\" in layer.text else ():
+        for escapes, mark in ((_PERCENT, "%"), (_BACKSLASH, "\\")):
+            if mark not in line[0]:
+                continue
+            spelled = escapes.sub(_escape, line[0])
+            for said in {spelled, escapes.sub(_escape, line[0].replace("+", " ")) if mark == "%" else spelled}:
+                data = said.encode("latin-1", "replace")
+                if not _MAGIC.search(data):
+                    continue
+                width = np.ones(len(line[0]) + 1, bool)
+                for m in escapes.finditer(line[0]):
+                    width[m.start() + 1 : m.end()] = False
+                places, last = line.start() + np.flatnonzero(width), 0
+                for m in _MAGIC.finditer(data):
+                    if m.start() < last:
+                        continue
+                    last = _end(data, m.start())
+                    low, high = layer.span(places[m.start()], places[last])
+                    for _, window, goes_on in _windows(data[m.start() : last], False, lambda _, run=(low, high): cut.add(run)):
+                        yield Packed(window, low, high, goes_on)
+
+
+def _end(data: bytes, at: int) -> int:
+    """Where packed data and the members right behind it end."""
+    while m := _MAGIC.match(data, at):
+        source = _unpack(data, at)
+        while True:
+            try:
+                next(source)
+            except StopIteration as end:
+                at = end.value[0]
+                break
+    return at
 
 
 #: A decoded layer that is no readable text is taken up if it holds a base kind's beginning or something to decode.
@@ -198,74 +347,75 @@ def _wide(layer: Layer) -> Iterator[Layer]:
             yield Layer(m[0].replace("\x00", ""), layer.starts[places], layer.ends[places])
 
 
-def _run_bytes(run: str) -> tuple[bytes, bool, bool]:
-    """The bytes of a base64 run, unpacked until they are not packed; whether they were, and were cut."""
+def _run_bytes(run: str) -> bytes:
     body = run.replace("-", "+").replace("_", "/")
     body = body[: len(body) - (len(body) % 4 == 1)]
-    data, packed, cut = base64.b64decode(body + "=" * (-len(body) % 4)), False, False
-    seen: set[bytes] = set()
-    while (inner := _unpacked(data)) and inner[0] not in seen:
-        data, packed, cut = inner[0], True, cut or inner[1]
-        seen.add(data)
-    return data, packed, cut
+    return base64.b64decode(body + "=" * (-len(body) % 4))
 
 
-def _joined(text: str, start: int, end: int) -> tuple[str, np.ndarray]:
-    """The base64 characters of a run without its line ends and padding, and the place of each."""
-    parts, places, at = [], [], start
+def _joined(text: str, start: int, end: int) -> tuple[str, list[tuple[int, int]]]:
+    """The base64 characters of a run without its line ends and padding, and the ranges that they stand in."""
+    ranges, at = [], start
     for m in _BREAK.finditer(text, start, end):
-        parts.append(text[at : m.start()])
-        places.append(np.arange(at, m.start()))
+        ranges.append((at, m.start()))
         at = m.end()
-    parts.append(text[at:end].rstrip("="))
-    places.append(np.arange(at, at + len(parts[-1])))
-    return "".join(parts), np.concatenate(places)
+    ranges.append((at, at + len(text[at:end].rstrip("="))))
+    return "".join(text[a:b] for a, b in ranges), ranges
 
 
-def _packed(layer: Layer, cut: list[int]) -> Iterator[Layer]:
-    """A layer of its own for each base64 run and start in it that spells text, anything to find, or packed data."""
+def _base64(layer: Layer, cut: set[tuple[int, int]]) -> Iterator[Layer | Packed]:
+    """What each base64 run spells from each start in it."""
     for m in _BASE64.finditer(layer.text):
-        run, places = _joined(layer.text, m.start(), m.end())
+        run, ranges = _joined(layer.text, m.start(), m.end())
         for skip in range(4) if len(run) >= _LEAST else ():
-            data, packed, was_cut = _run_bytes(run[skip:])
-            text = _text(data)
-            if text is None:
-                continue
-            cut[0] += was_cut
-            if packed:
-                low, high = layer.span(m.start() + skip, m.end())
-                yield Layer(text, np.full(len(text), low), np.full(len(text), high))
-            else:
+
+            def source(first, last):
                 # Byte i comes from the base64 characters that hold its bits; a character from all its bytes.
-                first = np.cumsum([0, *(len(c.encode()) for c in text)])[:-1] if len(text) < len(data) else np.arange(len(text))
-                last = np.append(first[1:], len(data)) - 1
-                starts, ends = places[skip + first * 8 // 6], places[skip + (last * 8 + 7) // 6]
-                yield Layer(text, layer.starts[starts], layer.ends[ends])
+                places = np.concatenate([np.arange(a, b) for a, b in ranges])
+                return layer.starts[places[skip + first * 8 // 6]], layer.ends[places[skip + (last * 8 + 7) // 6]]
 
+            high = int(layer.ends[m.end() - 1])
+            if (yield from _of_bytes(_run_bytes(run[skip:]), int(layer.starts[0]) if layer.flat else source, high, False, cut)):
+                break
 
-def decoded_spans(text: str) -> tuple[set[tuple[int, int, int]], int, int]:
-    """Spans found in decoded layers, the number of layers, and the unpacked runs that were cut."""
+
+def _inner(layer: Layer, cut: set[tuple[int, int]]) -> Iterator[Layer | Packed]:
+    for decoded in (_url, _unicode):
+        if new := decoded(layer):
+            yield new
+    yield from _wide(layer)
+    yield from _raw(layer, cut)
+    yield from _base64(layer, cut)
+
+
+def decoded_spans(text: str) -> tuple[set[tuple[int, int, int]], int, set[tuple[int, int]]]:
+    """Spans found in decoded layers, the number of layers, and the runs that may not have been read to their end."""
     places = np.arange(len(text) + 1)
-    work = [Layer(text, places[:-1], places[1:])]
-    seen: set[tuple[str, int, int]] = {(text, 0, len(text))}
+    root, cut = Layer(text, places[:-1], places[1:]), set()
+    key = lambda said, low, high: (hashlib.sha256(said).digest(), low, high)
+    seen = {key(text.encode("utf-8", "surrogatepass"), 0, len(text))}
+    work: list[Iterator[Layer | Packed]] = [_inner(root, cut)]
     found: set[tuple[int, int, int]] = set()
-    layers, cut = 0, [0]
+    layers = 0
     while work:
-        layer = work.pop()
-        new = [x for x in (_url(layer), _unicode(layer)) if x] + [*_wide(layer), *_packed(layer, cut)]
-        for inner in new:
-            if not inner.text:
+        inner = next(work[-1], None)
+        if inner is None:
+            work.pop()
+        elif isinstance(inner, Packed):
+            if (own := key(b"packed" + inner.data, inner.low, inner.high)) not in seen:
+                seen.add(own)
+                work.append(_of_bytes(inner.data, inner.low, inner.high, inner.more, cut))
+        elif inner.text:
+            own = key(inner.text.encode("utf-8", "surrogatepass"), *inner.span(0, len(inner.text)))
+            if own in seen:
                 continue
-            low, high = inner.span(0, len(inner.text))
-            if (inner.text, low, high) in seen:
-                continue
-            seen.add((inner.text, low, high))
+            seen.add(own)
             layers += 1
             for start, kind, end in base_spans(inner.text):
                 low, high = inner.span(start, end)
                 found.add((low, kind, high))
-            work.append(inner)
-    return found, layers, cut[0]
+            work.append(_inner(inner, cut))
+    return found, layers, cut
 
 
 def shown(spans) -> str:
@@ -274,9 +424,14 @@ def shown(spans) -> str:
 
 def scan(text: str, decode: bool = True) -> tuple[list, list, int, int]:
     """Base spans, all spans, layers unwrapped and runs cut of one text."""
+    base, spans, layers, cut = _scan(text, decode)
+    return base, spans, layers, len(cut)
+
+
+def _scan(text: str, decode: bool) -> tuple[list, list, int, set[tuple[int, int]]]:
     base = base_spans(text)
     if not decode:
-        return base, base, 0, 0
+        return base, base, 0, set()
     found, layers, cut = decoded_spans(text)
     added = {s for s in found if not any(k == s[1] and a <= s[0] and s[2] <= b for a, k, b in base)}
     return base, sorted({*base, *added}), layers, cut
@@ -318,7 +473,7 @@ def scan_texts(docs: DataFrame, *, keys: Sequence[str] = ("doc_id",), text: str
 
 
 def redact(docs: DataFrame, *, text: str = "text", mask: str = "[secret]") -> DataFrame:
-    """The rows with every found span of the text replaced by ``mask``; overlapping spans become one.
+    """The rows with every found span of the text, and every run counted in n_cut, replaced by ``mask``; overlapping spans become one.
 
     All other columns, whatever their names, and texts without a secret (missing ones too) stay as they are.
     """
@@ -327,7 +482,8 @@ def redact(docs: DataFrame, *, text: str = "text", mask: str = "[secret]") -> Da
         column, out = texts(values), values.to_pylist()
         for i, (plain, layered) in enumerate(zip(*_prepare(column))):
             if plain or layered:
-                spans = scan(column[i].as_py(), layered)[1]
+                _, spans, _, cut = _scan(column[i].as_py(), layered)
+                spans = [*spans, *((start, None, end) for start, end in cut)]
                 if spans:
                     out[i] = masked(out[i], spans, mask)
         return out

@@ -141,3 +141,35 @@ def test_layers_that_are_not_utf8(data):
     for run in (base64.b64encode(data).decode(), base64.b64encode(zlib.compress(data)).decode()):
         spans = secret_scan.scan(f"a {run} b")[1]
         assert {k for _, k, _ in spans} == {0} and all(2 <= a < b <= 2 + len(run) for a, _, b in spans)
+
+
+@pytest.mark.parametrize("pack", PACKERS)
+def test_all_members_and_windows_are_scanned(pack, monkeypatch):
+    two = base64.b64encode(pack(b"plain words, pass") + pack(f'word = "hunter2hunter2" {ACCESS}'.encode())).decode()
+    assert {k for _, k, _ in secret_scan.scan(two)[1]} == {0, 1}
+    glued = "https://host.example/v1/" + base64.b64encode(pack(SECRET.encode())).decode()
+    assert {k for _, k, _ in secret_scan.scan(glued)[1]} == {0}
+    monkeypatch.setattr(secret_scan, "UNPACK_BYTES", 1000)
+    words = " ".join(f"{i}." for i in range(3000))
+    for at in range(900, 1100, 7):
+        long = base64.b64encode(pack((words[:at] + SECRET + words + quote(ACCESS) + words).encode())).decode()
+        _, spans, _, cut = secret_scan.scan(f"a {long} b")
+        assert [s for s in spans if s[1] < 2] == [(2, 0, 2 + len(long)), (2, 1, 2 + len(long))] and cut == 0
+
+
+@pytest.mark.parametrize("pack", PACKERS)
+def test_packed_bytes_in_escapes(pack):
+    data = pack(f"{SECRET} and {ACCESS}".encode())
+    for run in (quote(data), "".join(f"%{b:02x}" for b in data), "".join(f"\\x{b:02x}" for b in data), repr(data)[2:-1]):
+        text = f"before {run} after"
+        assert {k for _, k, _ in secret_scan.scan(text)[1]} == {0, 1}
+        assert secret_scan.masked(text, secret_scan.scan(text)[1], "#").startswith("before #")
+
+
+def test_runs_cut_are_masked(spark, monkeypatch):
+    bomb = base64.b64encode(zlib.compress(b"a" * 1_000_000)).decode()
+    docs = documents(spark, [f"x {bomb} y"])
+    assert secret_scan.redact(docs).first().text.startswith("x ")
+    monkeypatch.setattr(secret_scan, "UNPACK_BYTES", 10_000)
+    found, _, cut = secret_scan.decoded_spans(f"x {bomb} y")
+    assert {(a, b) for a, _, b in found} == cut == {(2, 2 + len(bomb))}
