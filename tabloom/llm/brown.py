@@ -2,7 +2,7 @@
 
 ``p(w | v) = p(class(w) | class(v)) * p(item(w) | class(w)) * p(w | item(w))``. The ``CORE`` most
 frequent words are items of their own. Every other word belongs to the item of its ending, one of
-``ENDINGS`` groups, so every word, seen or not, has an item, and an item has one class. The last
+``ENDINGS`` groups by a checksum of its last four bytes (unlike endings meet in a group), so every word, seen or not, has an item, and an item has one class. The last
 factor is 1 for core words; in a group it is the word's share after absolute discounting, and what is
 discounted is the share of the words never seen there. The factors of each step add up to 1.
 
