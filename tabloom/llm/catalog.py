@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tabloom.llm import bpe, brown, chat, ngram_join, ordinal, polytope, posting, raking, secret_scan, token_counts
+from tabloom.llm import bpe, brown, chat, ngram_join, ordinal, polytope, posting, raking, secret_scan, subvectors, token_counts
 from tabloom.llm.batches import bound_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,3 +167,8 @@ def embedding_near_dedup(spark, d):
 @query("op8_posting_lists")
 def posting_lists(spark, d):
     return posting.search(table(spark, d, "embeddings"), F.col("id") % 20 == 0)
+
+
+@query("op11_centroid_clustering", subvectors.cluster_sql())
+def centroid_clustering(spark, d):
+    return subvectors.cluster(table(spark, d, "embeddings"))
