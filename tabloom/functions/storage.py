@@ -42,12 +42,15 @@ def staged(df: DataFrame, label: str = "stage", *, parts: str | None = None) ->
 
     Used where several scans follow a shuffle. A written table survives lost executors, is not
     held in memory, and later scans read only the columns they need. ``parts`` names the last
-    column, of few values, by which later scans pick rows: each value gets a folder.
+    column, of few values, by which later scans pick rows: each value gets a folder. ``remove`` deletes
+    the table of the frame given back.
     """
     path = scratch_path(df.sparkSession, label)
     writer = df.write.partitionBy(parts) if parts else df.write
     writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored._staged_path = path
+    return stored
 
 
 def spread(df: DataFrame, rows: int, *, per_task: int = 20_000) -> DataFrame:
@@ -70,3 +73,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Give iterative estimators a checkpoint folder unless the session has one."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
+
+
+def remove(*frames: DataFrame) -> None:
+    """Delete the tables of frames that ``staged`` gave, once nothing reads them any more."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._staged_path)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
