@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tabloom.llm import bpe, brown, chat, ngram_join, ordinal, polytope, posting, raking, secret_scan, subvectors, token_counts
+from tabloom.llm import bpe, brown, chat, davidson, ngram_join, ordinal, polytope, posting, raking, secret_scan, subvectors, token_counts
 from tabloom.llm.batches import bound_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -172,3 +172,8 @@ def posting_lists(spark, d):
 @query("op11_centroid_clustering", subvectors.cluster_sql())
 def centroid_clustering(spark, d):
     return subvectors.cluster(table(spark, d, "embeddings"))
+
+
+@query("op13_embedding_whitening")
+def embedding_whitening(spark, d):
+    return davidson.whiten(table(spark, d, "embeddings"))
