@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tabloom.llm import bpe, brown, chat, davidson, ngram_join, ordinal, polytope, posting, raking, secret_scan, subvectors, token_counts
+from tabloom.llm import bpe, brown, chat, davidson, ngram_join, ordinal, polytope, posting, raking, secret_scan, subvectors, suffix_levels, token_counts
 from tabloom.llm.batches import bound_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -177,3 +177,8 @@ def centroid_clustering(spark, d):
 @query("op13_embedding_whitening")
 def embedding_whitening(spark, d):
     return davidson.whiten(table(spark, d, "embeddings"))
+
+
+@query("op12_suffix_array_dedup", suffix_levels.SQL)
+def suffix_array_dedup(spark, d):
+    return suffix_levels.summary(suffix_levels.deduplicate(table(spark, d, "documents")))
