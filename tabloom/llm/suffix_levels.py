@@ -414,8 +414,11 @@ def summary(removed: DataFrame, key: str = "doc_id") -> DataFrame:
 SQL = f"""
 WITH d AS MATERIALIZED (
   SELECT row_number() OVER (ORDER BY doc_id NULLS LAST) AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), blocks AS (
+  SELECT r, b, substr(h, 500 * b + 1, {500 + 2 * LENGTH - 2}) AS x FROM d, range(0, length(h) // 500 + 1) AS t(b)
 ), w AS (
-  SELECT r, i, md5_number(substr(h, 2 * i + 1, {2 * LENGTH})) AS s FROM d, range(0, length(h) // 2 - {LENGTH - 1}) AS t(i)
+  SELECT r, 250 * b + i AS i, md5_number(substr(x, 2 * i + 1, {2 * LENGTH})) AS s
+  FROM blocks, range(0, least(250, length(x) // 2 - {LENGTH - 1})) AS t(i)
 ), later AS (
   SELECT r, i FROM w QUALIFY row_number() OVER (PARTITION BY s ORDER BY r, i) > 1
 ), marked AS (

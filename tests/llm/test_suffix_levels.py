@@ -52,7 +52,7 @@ def found(spark, rows, **options):
     return sorted((str(r[0]), *r[1:]) for r in got.collect())
 
 
-@pytest.mark.parametrize("unit, batches", [(4 << 20, 1), (3000, 4), (900, 7)])
+@pytest.mark.parametrize("unit, batches", [(4 << 20, 1), (900, 5)])
 def test_against_every_string(spark, monkeypatch, unit, batches):
     monkeypatch.setattr(suffix_levels, "UNIT", unit)
     rows = awkward()
