@@ -131,6 +131,13 @@ def train_gbt_regressor(spark, d):
     return _checked(spark, _price(spark, d, "gradient_boosting", TREES, cv_folds=0), 0.5)
 
 
+@query("train_gbt_multiclass", _expected("lineitem", 0))
+def train_gbt_multiclass(spark, d):
+    """Three classes over all lines by one boosting of shared scores."""
+    result = T.train_model(lines(spark, d), "l_returnflag", algorithm="gradient_boosting", params=TREES, cv_folds=0)
+    return _checked(spark, result, 0.3)
+
+
 @query("cross_validate", "SELECT cast(range AS integer) AS fold, true AS above_floor FROM range(5)")
 def cross_validate(spark, d):
     df = documents(spark, d)

@@ -11,7 +11,7 @@ import json
 import math
 from dataclasses import asdict, dataclass, field
 
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -162,12 +162,6 @@ class PreprocessorModel:
         levels = F.array(*[F.lit(v) for v in self.levels[c]])
         return (F.array_position(levels, self._category(c)) - 1).cast("double")
 
-    def _one_hot_array(self, c: str) -> Column:
-        """One array expression however many levels there are."""
-        code = self._code(c)
-        places = F.sequence(F.lit(0), F.lit(len(self.levels[c]) - 1))
-        return F.transform(places, lambda place: (place == code).cast("double"))
-
     # -------------------------------------------------------------- transform
     def transform(self, df: DataFrame, *, keep: list[str] | None = None) -> DataFrame:
         """Flat feature columns, numeric block first, after the columns to ``keep``."""
@@ -184,17 +178,36 @@ class PreprocessorModel:
         return df.select(*out)
 
     def with_vector(self, df: DataFrame, output: str = "features") -> DataFrame:
-        """The same features as one vector column beside the input columns."""
-        parts = []
-        if self.spec.numeric_columns:
-            parts.append(F.array(*[self._number(c) for c in self.spec.numeric_columns]))
-        for c in self.spec.categorical_columns:
-            if self.encoding == "ordinal":
-                parts.append(F.array(self._code(c)))
+        """The same features as one vector column beside the input columns.
+
+        One-hot blocks hold the place of their level alone, and the vector is sparse wherever that is
+        smaller, so a row costs one entry a column however many levels there are.
+        """
+        name = lambda kind, i: f"{output}~{kind}{i}"
+        numbers = [self._number(c).alias(name("n", i)) for i, c in enumerate(self.spec.numeric_columns)]
+        codes, blocks = [], []
+        for i, c in enumerate(self.spec.categorical_columns):
+            code = self._code(c)
+            if self.encoding == "onehot":
+                # One more level stands for unknown values. It is the last, which the encoder leaves out;
+                # that the number of levels is declared saves it a scan.
+                size = len(self.levels[c])
+                declared = {"ml_attr": {"type": "nominal", "num_vals": size + 1, "name": name("c", i)}}
+                code = F.when(code < 0, float(size)).otherwise(code).alias(name("c", i), metadata=declared)
+                blocks.append(name("h", i))
             else:
-                parts.append(self._one_hot_array(c))
-        vector = array_to_vector(F.concat(*parts) if len(parts) > 1 else parts[0])
-        return df.withColumn(output, vector)
+                code = code.alias(name("c", i))
+            codes.append(code)
+        wide = df.select("*", *numbers, *codes)
+        coded = [name("c", i) for i in range(len(codes))]
+        if blocks:
+            encoder = OneHotEncoder(inputCols=coded, outputCols=blocks, dropLast=True, handleInvalid="error")
+            wide = encoder.fit(wide).transform(wide)
+        inputs = [name("n", i) for i in range(len(numbers))] + (blocks or coded)
+        out = VectorAssembler(inputCols=inputs, outputCol=output).transform(wide)
+        # The estimators need no names of places; without them plans stay short.
+        return out.select(*[col(c) for c in df.columns if c != output], col(output).alias(output, metadata={}))
+
 
     # ------------------------------------------------------------ persistence
     def to_json(self) -> str:

@@ -49,14 +49,15 @@ def model_defaults(algorithm: str) -> dict:
 class ModelPlan:
     """A checked choice of algorithm and parameters; estimators are built per fit.
 
-    Regularisation depends on the number of rows, so it is set when the fit frame is known.
+    Regularisation depends on the number of rows, so it is set when the fit frame is known, and so is
+    ``memory_mb``, what one pass of a forest may take for the statistics of its nodes.
     """
 
     algorithm: str
     task: str
     params: dict = field(default_factory=dict)
 
-    def estimator(self, *, rows: int, label_std: float = 1.0, classes: int = 2, seed: int = 42):
+    def estimator(self, *, rows: int, label_std: float = 1.0, classes: int = 2, seed: int = 42, memory_mb: int = 256):
         p = self.params
         seed = p.get("random_state", seed)
         if self.algorithm == "logistic_regression":
@@ -87,7 +88,12 @@ class ModelPlan:
         }
         classify = self.task == "classification"
         if self.algorithm == "random_forest":
+            # Deep trees: rows remember the node they are in instead of going down every tree again at each
+            # level, and the nodes of a level are worked on in as few passes as memory allows.
             common |= {
+                "cacheNodeIds": True,
+                "checkpointInterval": 10,
+                "maxMemoryInMB": memory_mb,
                 "numTrees": p["n_estimators"],
                 "featureSubsetStrategy": str(p.get("max_features") or ("sqrt" if classify else "all")),
             }

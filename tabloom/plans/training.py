@@ -13,7 +13,6 @@ from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.ml.classification import (
     GBTClassificationModel,
-    GBTClassifier,
     LogisticRegressionModel,
     RandomForestClassificationModel,
 )
@@ -29,6 +28,8 @@ from tabloom.operators.features import PreprocessorModel, fit_preprocessor
 from tabloom.operators.metrics import class_distribution, compute_metrics, residuals, task_metrics
 from tabloom.operators.split import holdout, kfold
 from tabloom.operators.validate import check_target, encode_labels
+from tabloom.plans.boosting import BoostedClasses
+from tabloom.plans.boosting import fit as fit_boosted
 from tabloom.plans.registry import ModelPlan, available_models, create_model
 
 MAX_CLASSES = 10_000
@@ -58,6 +59,7 @@ _MODEL_CLASSES = {
         LinearRegressionModel,
         RandomForestRegressionModel,
         GBTRegressionModel,
+        BoostedClasses,
     )
 }
 
@@ -80,24 +82,21 @@ class FittedModel:
     def transform(self, df: DataFrame) -> DataFrame:
         """Add ``prediction`` and, for classes, ``prediction_index`` and one probability per class."""
         out = self.preprocessor.with_vector(df, "_features")
-        for i, m in enumerate(self.models):
-            m = m.copy().setFeaturesCol("_features").setPredictionCol(f"_prediction{i}")
-            if self.task == "classification":
-                m = m.setRawPredictionCol(f"_raw{i}").setProbabilityCol(f"_probability{i}")
-            out = m.transform(out)
         names = [col(c) for c in df.columns]
+        (m,) = self.models
+        if isinstance(m, BoostedClasses):
+            shares = m.probabilities("_features")
+            out = out.select(*names, shares.alias("_shares"))
+            index = F.array_position("_shares", F.array_max("_shares")) - 1
+            return self._labelled(out.withColumn("prediction_index", index.cast("int")), names)
+        m = m.copy().setFeaturesCol("_features").setPredictionCol("_prediction")
         if self.task == "regression":
-            return out.select(*names, F.col("_prediction0").alias("prediction"))
-        if len(self.models) == 1:
-            shares = vector_to_array("_probability0")
-            index = F.col("_prediction0").cast("int")
-        else:
-            # One model per class: the class shares are scaled to add up to one.
-            each = [vector_to_array(f"_probability{i}")[1] for i in range(len(self.models))]
-            whole = F.aggregate(F.array(*each), F.lit(0.0), lambda a, b: a + b)
-            shares = F.transform(F.array(*each), lambda p: F.try_divide(p, whole))
-            index = (F.array_position(shares, F.array_max(shares)) - 1).cast("int")
-        scored = out.select(*names, shares.alias("_shares"), index.alias("prediction_index"))
+            return m.transform(out).select(*names, F.col("_prediction").alias("prediction"))
+        out = m.setRawPredictionCol("_raw").setProbabilityCol("_probability").transform(out)
+        shares, index = vector_to_array("_probability"), F.col("_prediction").cast("int")
+        return self._labelled(out.select(*names, shares.alias("_shares"), index.alias("prediction_index")), names)
+
+    def _labelled(self, scored: DataFrame, names: list) -> DataFrame:
         labels = F.array(*[F.lit(c) for c in self.classes])
         return scored.select(
             *names,
@@ -162,14 +161,10 @@ def fit_model(
     matrix = matrix.select("_label", "_features").persist()
     try:
         row = matrix.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("_label").alias("s")).first()
-        if plan.task == "classification" and plan.algorithm == "gradient_boosting" and len(classes) > 2:
-            models = []
-            for i in range(len(classes)):
-                one = (F.col("_label") == i).cast("double").alias("_label", metadata=_nominal_meta(2))
-                own = matrix.select("_features", one)
-                models.append(_fit_one(plan, own, row, 2, seed))
+        k = len(classes) if classes else 0
+        if plan.algorithm == "gradient_boosting" and k > 2:
+            models = [fit_boosted(matrix, k, row["n"], plan.params, plan.params.get("random_state", seed))]
         else:
-            k = len(classes) if classes else 0
             own = matrix
             if k:
                 own = matrix.select("_features", F.col("_label").alias("_label", metadata=_nominal_meta(k)))
@@ -185,11 +180,23 @@ def _nominal_meta(k: int) -> dict:
 
 
 def _fit_one(plan, matrix, row, classes, seed):
-    est = plan.estimator(rows=row["n"], label_std=row["s"] or 1.0, classes=classes, seed=seed)
-    est = est.setFeaturesCol("_features").setLabelCol("_label")
-    if isinstance(est, GBTClassifier) and classes != 2:
-        raise ModelError("Boosted trees need two classes per estimator.")
-    return est.fit(matrix)
+    memory = tree_memory_mb(matrix.sparkSession)
+    est = plan.estimator(rows=row["n"], label_std=row["s"] or 1.0, classes=classes, seed=seed, memory_mb=memory)
+    return est.setFeaturesCol("_features").setLabelCol("_label").fit(matrix)
+
+
+def tree_memory_mb(spark: SparkSession) -> int:
+    """What a task may take for the statistics of tree nodes: a quarter of its share of an executor's memory.
+
+    In a local session the driver is the executor. The share lies between the estimators' default and 2 GB.
+    """
+    context = spark.sparkContext
+    local = context.master.startswith("local") and not context.master.startswith("local-cluster")
+    text = context.getConf().get("spark.driver.memory" if local else "spark.executor.memory", "1g").lower()
+    digits, unit = text.rstrip("kmgtb"), text.lstrip("0123456789").rstrip("b")
+    megabytes = int(digits) * {"k": 2**-10, "": 2**-20, "m": 1, "g": 2**10, "t": 2**20}[unit]
+    cores = context.defaultParallelism if local else int(context.getConf().get("spark.executor.cores", "1"))
+    return int(min(2048, max(256, megabytes / max(cores, 1) / 4)))
 
 
 # --------------------------------------------------------------------------- evaluation
@@ -575,6 +582,9 @@ def save_model(spark: SparkSession, result: TrainingResult, path: str, *, overwr
     except AnalysisException as exc:
         raise ModelError(f"A model exists already in '{path}'; pass overwrite=True to replace it.") from exc
     for i, e in enumerate(m.models):
+        if isinstance(e, BoostedClasses):
+            e.save(spark, f"{path}/estimator_{i}", overwrite=overwrite)
+            continue
         writer = e.write().overwrite() if overwrite else e.write()
         writer.save(f"{path}/estimator_{i}")
     return path
