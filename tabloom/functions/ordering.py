@@ -8,7 +8,6 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.errors import DataError
 from tabloom.functions.columns import col
 from tabloom.functions.storage import staged
 
@@ -136,8 +135,9 @@ def label_by_rank(
     selected (counts per digest prefix, then only the rows of the prefix holding the end), and
     labelling is a comparison with those digests: a projection without a shuffle of the table.
 
-    Rows with equal ``key`` stay together. Without ``key`` every row is ranked on its own by its
-    content and copy number.
+    Rows with equal ``key`` stay together, but for keys whose rows lie on both sides of a range end. Those
+    rows are ranked among themselves in a second round, by content and copy number, so parts have their
+    exact sizes however often a key repeats. Without ``key`` every row is ranked that way at once.
     """
     spark = df.sparkSession
     columns = df.columns
@@ -195,10 +195,7 @@ def label_by_rank(
         cuts = staged(cuts, "cuts")
         torn = cuts.where("take < copies").take(1)
     if torn:
-        raise DataError(
-            f"Key {key} does not identify rows: rows with one key straddle a range end. "
-            "Name more key columns, or none to order by the whole row."
-        )
+        return _torn_apart(base, cuts, groups, labels, columns, group=group, seed=seed, output=output, by=by, key=key)
 
     limits = groups.select("_g").join(
         hint(
@@ -234,3 +231,54 @@ def label_by_rank(
             .select(*names, "_h", "_g", label.alias(output))
         )
     return plain.select(*names, output)
+
+
+def _torn_apart(base, cuts, groups, labels, columns, *, group, seed, output, by, key) -> DataFrame:
+    """Label rows whose key's rows lie on both sides of a range end, and apart from them all others.
+
+    ``cuts`` holds, for each group and range end, the digest there, how many rows have it and how many of
+    them are to come before the end. There are at most as many such digests as range ends.
+    """
+    ends = len(labels) - 1
+    torn = cuts.where("take < copies").groupBy("_g", "_h").agg(F.max("copies").alias("copies"))
+    at = [F.max(F.when(F.col("c.cut") == i, F.struct("c._h", "c.take"))).alias(f"_e{i}") for i in range(ends)]
+    ranged = (
+        torn.alias("t")
+        .join(cuts.alias("c"), F.col("t._g").eqNullSafe(F.col("c._g")))
+        .groupBy("t._g", "t._h", "t.copies")
+        .agg(*at)
+    )
+    # Of a digest's rows those before a range end: all if the end lies further on, none if it lies before.
+    upto = [
+        F.when(F.col(f"_e{i}._h") == F.col("_h"), F.col(f"_e{i}.take"))
+        .when(F.col(f"_e{i}._h") > F.col("_h"), F.col("copies"))
+        .otherwise(F.lit(0))
+        .alias(f"end_{i}")
+        for i in range(ends)
+    ]
+    # A group's number is part of the name of a digest within it.
+    name = lambda g, h: F.concat(F.coalesce(g.cast("string"), F.lit("")), F.lit(":"), h)
+    second = staged(ranged.select(name(F.col("_g"), F.col("_h")).alias("_g"), *upto), "torn")
+    few = second.count()
+    marked = base.withColumn("_key", name(group, F.col("_h")))
+    one = second.select(F.col("_g").alias("_torn"))
+    if few <= MAX_LOCAL_GROUPS:
+        one = F.broadcast(one)
+    mixed = marked.join(one, F.col("_key") == F.col("_torn"), "left_semi").select(*[col(c) for c in columns], "_key")
+    mixed = staged(mixed, "torn")
+    inside = label_by_rank(
+        mixed, second, labels, total=mixed.count(), group_count=few, key=None, seed=seed, by="_key", output=output
+    )
+    others = marked.join(one, F.col("_key") == F.col("_torn"), "left_anti").select(*[col(c) for c in columns])
+    # Without those rows every end lies between two keys: what comes before it is one digest shorter.
+    lost = staged(
+        ranged.select("_g", *upto).groupBy("_g").agg(*[F.sum(f"end_{i}").alias(f"_in{i}") for i in range(ends)]), "torn"
+    )
+    rest = groups.alias("g").join(lost.alias("l"), F.col("g._g").eqNullSafe(F.col("l._g")), "left").select(
+        "g._g", *[(F.col(f"end_{i}") - F.coalesce(F.col(f"_in{i}"), F.lit(0))).alias(f"end_{i}") for i in range(ends)]
+    )
+    rest = staged(rest, "groups")
+    outside = label_by_rank(
+        others, rest, labels, total=others.count(), group_count=rest.count(), key=key, seed=seed, by=by, output=output
+    )
+    return outside.unionByName(inside.drop("_key"))

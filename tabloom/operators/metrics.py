@@ -6,6 +6,7 @@ first reduce to one row per distinct score.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -16,6 +17,14 @@ from tabloom.errors import EvaluationError
 from tabloom.functions.columns import col, equal_width_bin, ratio, ratio_or_zero
 from tabloom.functions.longform import union_all
 from tabloom.functions.ordering import range_bounds, running_totals
+from tabloom.functions.quantiles import quantiles
+from tabloom.functions.storage import staged
+
+AVERAGES = ("binary", "macro", "weighted")
+#: Labels of a block of a dense confusion matrix.
+LABEL_BLOCK = 256
+#: The smallest difference from 1 of a double, which keeps logarithms finite.
+HAIR = 2.0**-52
 
 # Display names of the metrics.
 METRIC_LABELS = {
@@ -60,20 +69,30 @@ def pair_counts(df: DataFrame, actual: str, prediction: str) -> DataFrame:
     )
 
 
-def confusion_matrix(df: DataFrame, actual: str, prediction: str) -> DataFrame:
-    """Every pair of labels (of either side) with its count, zero included.
+def confusion_matrix(df: DataFrame, actual: str, prediction: str, *, dense: bool = True) -> DataFrame:
+    """Counts by pair of labels: of every pair of labels (of either side), zero included, if ``dense``.
 
-    The label set is gathered from the pair counts, so it has one entry per class.
+    The sparse form has one row for each pair that occurs. The dense one puts labels into blocks of about
+    ``LABEL_BLOCK`` and joins every label to the blocks, so no list of all labels is held anywhere.
     """
     pairs = pair_counts(df, actual, prediction)
-    labels = pairs.select(F.explode(F.array("actual", "predicted")).alias("v")).agg(
-        F.array_sort(F.collect_set("v")).alias("labels")
-    )
-    grid = labels.select("labels", F.explode("labels").alias("actual")).select(
-        "actual", F.explode("labels").alias("predicted")
+    if not dense:
+        return pairs.select("actual", "predicted", col("n").cast("bigint").alias("n"))
+    pairs = staged(pairs, "pairs")
+    labels = pairs.select(F.explode(F.array("actual", "predicted")).alias("v")).distinct()
+    blocks = max(1, math.ceil(labels.count() / LABEL_BLOCK))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    gathered = labels.groupBy(block("v").alias("block")).agg(F.collect_list("v").alias("held"), F.count_if(F.col("v").isNull()).alias("empty"))
+    # A list leaves missing labels out; at most one block has one.
+    held = F.when(F.col("empty") > 0, F.concat("held", F.array(F.lit(None)))).otherwise(F.col("held"))
+    grid = (
+        labels.select(F.col("v").alias("actual"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+        .join(gathered.select("block", held.alias("held")), "block")
+        .select("actual", F.explode("held").alias("predicted"))
     )
-    return grid.join(pairs, ["actual", "predicted"], "left").select(
-        "actual", "predicted", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")
+    same = F.col("g.actual").eqNullSafe(F.col("p.actual")) & F.col("g.predicted").eqNullSafe(F.col("p.predicted"))
+    return grid.alias("g").join(pairs.alias("p"), same, "left").select(
+        "g.actual", "g.predicted", F.coalesce("p.n", F.lit(0)).cast("bigint").alias("n")
     )
 
 
@@ -108,14 +127,15 @@ def classification_metrics(
     *,
     average: str = "macro",
     positive=None,
+    balanced_accuracy: bool = False,
 ) -> DataFrame:
     """One row: accuracy, precision, recall and F1, to 4 places; a zero division counts as 0.
 
     ``average="binary"`` scores the ``positive`` label alone, ``"macro"`` is the plain mean over
-    the labels of either side.
+    the labels of either side, ``"weighted"`` the mean by how often each is the actual one.
     """
-    if average not in ("binary", "macro"):
-        raise EvaluationError(f"average '{average}' is neither binary nor macro.")
+    if average not in AVERAGES:
+        raise EvaluationError(f"average '{average}' is none of {', '.join(AVERAGES)}.")
     scored = (
         per_label_counts(df, actual, prediction)
         .withColumn("p", ratio_or_zero(F.col("hits"), F.col("predicted_n")))
@@ -127,13 +147,18 @@ def classification_metrics(
             raise EvaluationError("Binary averaging needs the positive label.")
         chosen = F.col("label") == F.lit(positive)
         p, r, f = (F.coalesce(F.max(F.when(chosen, F.col(c))), F.lit(0.0)) for c in "prf")
+    elif average == "weighted":
+        p, r, f = (ratio_or_zero(F.sum(F.col(c) * F.col("actual_n")), F.sum("actual_n")) for c in "prf")
     else:
         p, r, f = (F.avg(c) for c in "prf")
+    # The mean recall of labels that do occur: one that is only predicted has no recall.
+    balanced = F.avg(F.when(F.col("actual_n") > 0, F.col("r")))
     return scored.agg(
         F.round(ratio(F.sum("hits"), F.sum("actual_n")), 4).alias("accuracy"),
         F.round(p, 4).alias("precision"),
         F.round(r, 4).alias("recall"),
         F.round(f, 4).alias("f1"),
+        *([F.round(balanced, 4).alias("balanced_accuracy")] if balanced_accuracy else []),
     )
 
 
@@ -296,6 +321,117 @@ def binned_residuals(df: DataFrame, actual: str, prediction: str, bins: int = 30
     )
 
 
+# --------------------------------------------------------------------------- scorers
+def log_loss(df: DataFrame, actual: str, probabilities: dict) -> DataFrame:
+    """Mean negative logarithm of the probability of the actual label.
+
+    Probabilities are kept a hair away from 0 and 1, and a label without one counts as improbable as can be.
+    """
+    own = F.lit(None).cast("double")
+    for label, name in probabilities.items():
+        own = F.when(col(actual) == F.lit(label), col(name).cast("double")).otherwise(own)
+    kept = F.least(F.greatest(F.coalesce(own, F.lit(0.0)), F.lit(HAIR)), F.lit(1.0 - HAIR))
+    return df.where(col(actual).isNotNull()).agg(F.round(F.avg(-F.log(kept)), 4).alias("log_loss"))
+
+
+def average_precision(df: DataFrame, actual: str, score: str, *, positive, rows_per_bucket: int | None = None) -> DataFrame:
+    """Precision at each falling threshold, weighted by the recall gained there; missing without a positive."""
+    long = _scored(df, actual, score, positive)
+    bounds = _size_and_bounds(long, [], rows_per_bucket)
+    ranked = running_totals(_per_score(long, []), "score", ["pos", "neg"], bounds=bounds, descending=True)
+    precision = F.col("upto_pos").cast("double") / (F.col("upto_pos") + F.col("upto_neg"))
+    gained = F.sum(F.when(F.col("pos") > 0, F.col("pos") * precision).otherwise(0.0))
+    return ranked.agg(F.round(F.try_divide(gained, F.sum("pos").cast("double")), 4).alias("average_precision"))
+
+
+def explained_variance(df: DataFrame, actual: str, prediction: str) -> DataFrame:
+    """Share of the variance that is not in the errors; errors that are all alike count as none."""
+    y, e = col(actual).cast("double"), (col(actual) - col(prediction)).cast("double")
+    known = df.where(y.isNotNull() & e.isNotNull())
+    row = known.agg(F.var_pop(e).alias("e"), F.var_pop(y).alias("y"))
+    value = F.when(F.col("y") > 0, 1 - F.col("e") / F.col("y")).when(F.col("y") == 0, F.when(F.col("e") == 0, 1.0).otherwise(0.0))
+    return row.select(F.round(value, 4).alias("explained_variance"))
+
+
+def median_absolute_error(df: DataFrame, actual: str, prediction: str) -> DataFrame:
+    """The exact median of the absolute errors."""
+    errors = df.select(F.abs(col(actual) - col(prediction)).cast("double").alias("e"))
+    (value,) = quantiles(errors, ["e"], [0.5])["e"]
+    return df.sparkSession.createDataFrame([(None if value is None else round(value, 4),)], "median_absolute_error double")
+
+
+def _averaged(which: str, average: str):
+    def run(df, classes, _):
+        positive = classes[-1] if average == "binary" else None
+        return classification_metrics(df, "actual", "prediction", average=average, positive=positive).select(which)
+
+    return run
+
+
+def _ranked(binary, each):
+    """A rank metric of the positive class of two, or its mean over classes of more."""
+
+    def run(df, classes, probabilities):
+        if len(classes) == 2:
+            return binary(df, "actual", probabilities[classes[1]], positive=classes[1])
+        return each(df, "actual", probabilities)
+
+    return run
+
+
+def _mean_average_precision(df: DataFrame, actual: str, probabilities: dict) -> DataFrame:
+    found = [average_precision(df, actual, name, positive=label) for label, name in probabilities.items()]
+    return union_all(found).agg(F.round(F.avg("average_precision"), 4).alias("average_precision"))
+
+
+def _regression(which: str):
+    return lambda df, _, __: regression_metrics(df, "actual", "prediction").select(which)
+
+
+#: Scorer -> task, sign and one-row table of (predictions, classes, probability columns).
+SCORERS = {
+    "roc_auc": ("classification", 1, _ranked(roc_auc, roc_auc_ovr)),
+    "roc_auc_ovr": ("classification", 1, _ranked(roc_auc, roc_auc_ovr)),
+    "average_precision": ("classification", 1, _ranked(average_precision, _mean_average_precision)),
+    "neg_log_loss": ("classification", -1, lambda df, _, p: log_loss(df, "actual", p)),
+    "accuracy": ("classification", 1, _averaged("accuracy", "macro")),
+    "balanced_accuracy": (
+        "classification",
+        1,
+        lambda df, _, __: classification_metrics(df, "actual", "prediction", balanced_accuracy=True).select("balanced_accuracy"),
+    ),
+    **{
+        metric + ("" if average == "binary" else f"_{average}"): ("classification", 1, _averaged(metric, average))
+        for average in ("binary", "macro", "weighted")
+        for metric in ("precision", "recall", "f1")
+    },
+    "r2": ("regression", 1, _regression("r2")),
+    "explained_variance": ("regression", 1, lambda df, _, __: explained_variance(df, "actual", "prediction")),
+    "neg_mean_absolute_error": ("regression", -1, _regression("mae")),
+    "neg_mean_squared_error": ("regression", -1, _regression("mse")),
+    "neg_root_mean_squared_error": ("regression", -1, _regression("rmse")),
+    "neg_median_absolute_error": ("regression", -1, lambda df, _, __: median_absolute_error(df, "actual", "prediction")),
+}
+
+
+def check_scorer(name: str, task: str, classes: list | None) -> None:
+    """Raise where a scorer is unknown or does not fit the task or the number of classes."""
+    if name not in SCORERS:
+        raise EvaluationError(f"Unknown scoring '{name}'; there are {', '.join(SCORERS)}.")
+    if SCORERS[name][0] != task:
+        raise EvaluationError(f"Scoring '{name}' is for {SCORERS[name][0]}, not for {task}.")
+    if name in ("precision", "recall", "f1") and len(classes or []) != 2:
+        raise EvaluationError(f"Scoring '{name}' needs two classes; {name}_macro takes more.")
+
+
+def score(df: DataFrame, name: str, *, classes: list | None = None, probabilities: dict | None = None) -> float | None:
+    """A scorer's value for a table of ``actual`` and ``prediction``: the larger, the better."""
+    task, sign, metric = SCORERS[name]
+    check_scorer(name, task, classes)
+    value = metric(df, classes or [], probabilities or {}).first()[0]
+    return None if value is None else sign * value
+
+
 # --------------------------------------------------------------------------- dispatch
 def compute_metrics(
     df: DataFrame,

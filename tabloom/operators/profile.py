@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -206,44 +208,80 @@ def numeric_describe(df: DataFrame, *, exact: bool = True) -> DataFrame:
     )
 
 
+def _pair_moments(x: np.ndarray) -> np.ndarray:
+    """(count, means and squares and cross products about them) of each pair of columns, over rows having both.
+
+    Values are first taken relative to one of their own, so equal values have no spread to the last digit,
+    and then to their mean.
+    """
+    there = ~np.isnan(x)
+    some = np.array([c[m][0] if m.any() else 0.0 for c, m in zip(x.T, there.T)])
+    apart = np.where(there, x - some, 0.0)
+    middle = apart.sum(axis=0) / np.maximum(there.sum(axis=0), 1)
+    apart = np.where(there, apart - middle, 0.0)
+    mask = there.astype(float)
+    n = mask.T @ mask
+    size = np.maximum(n, 1)
+    total = apart.T @ mask
+    mean = (some + middle)[:, None] + total / size
+    square = (apart**2).T @ mask - total**2 / size
+    cross = apart.T @ apart - total * total.T / size
+    return np.stack([n, mean, mean.T, square, square.T, cross])
+
+
+def _merged_moments(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Moments of two sets of rows together; each is (count, two means, two squares, cross product) by pair."""
+    n = a[0] + b[0]
+    share = np.divide(b[0], n, out=np.zeros_like(n), where=n > 0)
+    dx, dy, both = b[1] - a[1], b[2] - a[2], a[0] * share
+    none = a[0] == 0
+    return np.stack(
+        [
+            n,
+            np.where(none, b[1], a[1] + dx * share),
+            np.where(none, b[2], a[2] + dy * share),
+            a[3] + b[3] + dx**2 * both,
+            a[4] + b[4] + dy**2 * both,
+            a[5] + b[5] + dx * dy * both,
+        ]
+    )
+
+
 def correlation_matrix(df: DataFrame) -> DataFrame:
     """Pearson correlation of every pair of numeric columns, over the rows having both.
 
-    The upper triangle comes from one scan; the lower is its mirror.
+    One scan over wide rows: tasks add up the products of whole blocks of rows as matrices, and give one
+    row of moments for each column, which are merged by column. Missing without spread or common rows.
     """
     names = numeric_columns(df)
     if len(names) < 2:
         raise EvaluationError("A correlation matrix needs at least two numeric columns.")
-    number = {c: col(c).cast("double") for c in names}
-    cells: list[Column] = []
-    for i, a in enumerate(names):
-        for b in names[i + 1 :]:
-            cells += [F.lit(a), F.lit(b), number[a], number[b]]
-    # The built-in correlation raises for a column without variance; its parts do not.
-    x = F.when(F.col("y").isNotNull(), F.col("x"))
-    y = F.when(F.col("x").isNotNull(), F.col("y"))
-    # One short aggregate over (pair, x, y) rows: as many aggregates side by side would outgrow
-    # compiled code, and one scan serves all pairs.
-    cross = (
-        df.select(F.stack(F.lit(len(cells) // 4), *cells).alias("a", "b", "x", "y"))
-        .groupBy("a", "b")
-        .agg(F.try_divide(F.covar_pop("x", "y"), F.stddev_pop(x) * F.stddev_pop(y)).alias("r"))
-    )
-    itself = one_pass(
-        df, {c: {"b": F.lit(c), "r": F.when(F.min(v) < F.max(v), 1.0)} for c, v in number.items()}, key="a"
-    )
-    upper = itself.unionByName(cross)
-    both = F.when(
-        F.col("a") == F.col("b"), F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")))
-    ).otherwise(
-        F.array(
-            F.struct(F.col("a").alias("x"), F.col("b").alias("y")),
-            F.struct(F.col("b").alias("x"), F.col("a").alias("y")),
-        )
-    )
-    return upper.select(F.inline(both), F.round("r", 4).alias("correlation")).select(
-        F.col("x").alias("column"), F.col("y").alias("other"), "correlation"
-    )
+    width = len(names)
+
+    def blocks(batches):
+        total = None
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
+            if len(x):
+                own = _pair_moments(x)
+                total = own if total is None else _merged_moments(total, own)
+        if total is not None:
+            rows = [np.ascontiguousarray(total[:, i]).tobytes() for i in range(width)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(width), pa.int32()), pa.array(rows, pa.binary())], names=["at", "moments"])
+
+    def correlations(found: pa.Table) -> pa.Table:
+        at, total = found["at"][0].as_py(), None
+        for raw in found["moments"]:
+            own = np.frombuffer(raw.as_py()).reshape(6, width)
+            total = own if total is None else _merged_moments(total, own)
+        spread = total[3] * total[4]
+        r = [float(c / v**0.5) if v > 0 else None for c, v in zip(total[5], spread)]
+        return pa.table([pa.array([names[at]] * width), pa.array(names), pa.array(r, pa.float64())], names=["column", "other", "r"])
+
+    wide = df.select(F.array(*[col(c).cast("double") for c in names]).alias("x"))
+    moments = wide.mapInArrow(blocks, "at int, moments binary")
+    found = moments.groupBy("at").applyInArrow(correlations, "column string, other string, r double")
+    return found.select("column", "other", F.round("r", 4).alias("correlation"))
 
 
 def top_variance_columns(df: DataFrame, k: int = MAX_HISTOGRAMS) -> DataFrame:

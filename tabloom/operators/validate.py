@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tabloom.errors import ValidationError
@@ -221,6 +221,25 @@ def target_profile(df: DataFrame, target: str) -> DataFrame:
     )
 
 
+def target_facts(df: DataFrame, target: str, limit: int = CLASS_LIMIT) -> Row:
+    """The same as :func:`target_profile`, but for ``classes``, which ends at ``limit`` + 1: there are more.
+
+    A sketch of constant size decides whether values are grouped at all. With so few distinct values it cannot
+    be too high by half, so what is grouped, and shuffled, is a few dozen values a task at most.
+    """
+    numeric = is_numeric(df.schema[target].dataType, include_boolean=True)
+    v = col(target)
+    row = df.agg(
+        F.count(F.lit(1)).alias("rows"), F.count(v).alias("present"), F.approx_count_distinct(v).alias("about")
+    ).first()
+    classes = limit + 1
+    if row["about"] <= 2 * limit:
+        classes = min(classes, df.select(v.alias("v")).where("v is not null").distinct().limit(classes).count())
+    few = not numeric or (classes <= limit and row["rows"] > 0 and classes / row["rows"] < CLASS_SHARE)
+    task = ("classification" if few else "regression") if classes > 1 else None
+    return Row(rows=row["rows"], present=row["present"], classes=classes, task=task, binary=classes == 2)
+
+
 def target_problem(row, target: str) -> str | None:
     """Why a target's profile row leaves nothing to learn, if it does."""
     distinct = {0: "no value at all", 1: "the same value in every row that has one"}
@@ -234,7 +253,7 @@ def check_target(df: DataFrame, target: str | None):
     if target not in df.columns:
         named = f"there is no column '{target}'" if target else "no target is named"
         raise ValidationError(f"Nothing to learn: {named}; columns are {', '.join(df.columns)}.")
-    row = target_profile(df, target).first()
+    row = target_facts(df, target)
     if problem := target_problem(row, target):
         raise ValidationError(problem)
     return row

@@ -25,7 +25,15 @@ from tabloom.errors import DataError, EvaluationError, ModelError
 from tabloom.functions.columns import col
 from tabloom.functions.storage import ensure_checkpoint_dir, spread, staged
 from tabloom.operators.features import PreprocessorModel, fit_preprocessor
-from tabloom.operators.metrics import class_distribution, compute_metrics, residuals, task_metrics
+from tabloom.operators.metrics import (
+    check_scorer,
+    class_distribution,
+    compute_metrics,
+    pair_counts,
+    residuals,
+    score,
+    task_metrics,
+)
 from tabloom.operators.split import holdout, kfold
 from tabloom.operators.validate import check_target, encode_labels
 from tabloom.plans.boosting import BoostedClasses
@@ -33,23 +41,6 @@ from tabloom.plans.boosting import fit as fit_boosted
 from tabloom.plans.registry import ModelPlan, available_models, create_model
 
 MAX_CLASSES = 10_000
-# Scorer -> metric, sign, and the averaging over classes where the scorer prescribes one.
-SCORERS = {
-    "roc_auc": ("roc_auc", 1, None),
-    "roc_auc_ovr": ("roc_auc", 1, None),
-    "accuracy": ("accuracy", 1, None),
-    "balanced_accuracy": ("recall", 1, "macro"),
-    "precision": ("precision", 1, "binary"),
-    "recall": ("recall", 1, "binary"),
-    "f1": ("f1", 1, "binary"),
-    "precision_macro": ("precision", 1, "macro"),
-    "recall_macro": ("recall", 1, "macro"),
-    "f1_macro": ("f1", 1, "macro"),
-    "r2": ("r2", 1, None),
-    "neg_mean_absolute_error": ("mae", -1, None),
-    "neg_mean_squared_error": ("mse", -1, None),
-    "neg_root_mean_squared_error": ("rmse", -1, None),
-}
 _MODEL_CLASSES = {
     c.__name__: c
     for c in (
@@ -112,6 +103,7 @@ class TrainingResult:
     metrics: dict = field(default_factory=dict)
     train_metrics: dict = field(default_factory=dict)
     class_distribution: dict = field(default_factory=dict)
+    confusion: DataFrame | None = None
     cv_scores: dict = field(default_factory=dict)
     feature_importance: list = field(default_factory=list)
     params: dict = field(default_factory=dict)
@@ -200,39 +192,68 @@ def tree_memory_mb(spark: SparkSession) -> int:
 
 
 # --------------------------------------------------------------------------- evaluation
-def evaluate(
+@dataclass
+class Evaluation:
+    """Metrics, and for classes the confusion matrix: a stored table with a row for each pair that occurs."""
+
+    metrics: dict[str, float]
+    confusion: DataFrame | None = None
+
+
+def scored_table(model: FittedModel, df: DataFrame, *, rows: int | None = None, with_scores: bool = True) -> DataFrame:
+    """Predictions and probabilities beside the labels of rows that have one."""
+    if model.target not in df.columns:
+        raise DataError(f"The dataset lacks the target column '{model.target}' of the model.")
+    needed = [col(c) for c in [model.target, *model.preprocessor.spec.feature_columns]]
+    labelled = df.where(col(model.target).isNotNull()).select(*needed)
+    scored = model.transform(labelled if rows is None else spread(labelled, rows))
+    keep = [col(model.target).alias("actual"), col("prediction")]
+    return scored.select(*keep, *[col(c) for c in (model.probability_columns if with_scores else {}).values()])
+
+
+def evaluation(
     model: FittedModel,
     df: DataFrame,
     *,
     with_scores: bool = True,
     rows: int | None = None,
     average: str | None = None,
-) -> dict[str, float]:
-    """Metrics of a model on labelled rows; labels unknown to it count as errors.
-
-    ``average`` is binary or macro where the default for the number of classes is not wanted.
+    confusion: bool = True,
+) -> Evaluation:
+    """Metrics of a model on labelled rows with its confusion matrix; labels unknown to it count as errors.
 
+    ``average`` is binary, macro or weighted where the default for the number of classes is not wanted.
     ``with_scores=False`` leaves out the metrics that need class probabilities. ``rows``, where
     the caller knows it, lets a small table use all cores.
     """
-    if model.target not in df.columns:
-        raise DataError(f"The dataset lacks the target column '{model.target}' of the model.")
-    needed = [col(c) for c in [model.target, *model.preprocessor.spec.feature_columns]]
-    labelled = df.where(col(model.target).isNotNull()).select(*needed)
-    scored = model.transform(labelled if rows is None else spread(labelled, rows))
-    keep = [col(model.target).alias("actual"), col("prediction")]
-    probabilities = model.probability_columns if with_scores else {}
-    keep += [col(c) for c in probabilities.values()]
-    table = scored.select(*keep).persist()
+    table = scored_table(model, df, rows=rows, with_scores=with_scores).persist()
     try:
-        rows = compute_metrics(
+        found = compute_metrics(
             table,
             model.task,
             classes=model.classes,
-            probabilities=probabilities or None,
+            probabilities=(model.probability_columns if with_scores else None) or None,
             average=average,
         ).collect()
-        return {r["metric"]: r["value"] for r in rows}
+        matrix = None
+        if confusion and model.task == "classification":
+            matrix = staged(pair_counts(table, "actual", "prediction"), "confusion")
+        return Evaluation({r["metric"]: r["value"] for r in found}, matrix)
+    finally:
+        table.unpersist()
+
+
+def evaluate(model: FittedModel, df: DataFrame, **options) -> dict[str, float]:
+    """The metrics of :func:`evaluation` alone."""
+    return evaluation(model, df, **options, confusion=False).metrics
+
+
+def score_model(model: FittedModel, df: DataFrame, scoring: str, *, rows: int | None = None) -> float | None:
+    """A scorer's value on labelled rows."""
+    check_scorer(scoring, model.task, model.classes)
+    table = scored_table(model, df, rows=rows).persist()
+    try:
+        return score(table, scoring, classes=model.classes, probabilities=model.probability_columns)
     finally:
         table.unpersist()
 
@@ -303,14 +324,10 @@ def cross_validate(
     ``parallelism`` folds run at a time, each keeping its feature matrix.
     """
     scoring = scoring or task_metrics(plan.task).scoring
-    if scoring not in SCORERS:
-        raise EvaluationError(f"Unknown scoring '{scoring}'; there are {', '.join(SCORERS)}.")
-    metric, sign, average = SCORERS[scoring]
-    if average == "binary" and len(classes or []) != 2:
-        raise EvaluationError(f"Scoring '{scoring}' needs two classes; {scoring}_macro takes more.")
+    check_scorer(scoring, plan.task, classes)
     numbers = sorted(r[0] for r in df.select(fold).distinct().collect())
 
-    def score(i) -> float:
+    def of_fold(i) -> float:
         model = fit_model(
             df.where(col(fold) != i).drop(fold),
             target,
@@ -321,16 +338,16 @@ def cross_validate(
             **feature_options,
         )
         held = model.preprocessor.rows // (len(numbers) - 1)
-        value = evaluate(model, df.where(col(fold) == i).drop(fold), rows=held, average=average).get(metric)
+        value = score_model(model, df.where(col(fold) == i).drop(fold), scoring, rows=held)
         if value is None:
             raise EvaluationError(f"Scoring '{scoring}' does not apply to fold {i}.")
-        return sign * value
+        return value
 
     if parallelism <= 1:
-        return [score(i) for i in numbers]
+        return [of_fold(i) for i in numbers]
     ensure_checkpoint_dir(df.sparkSession)
     with ThreadPool(min(parallelism, len(numbers))) as pool:
-        return pool.map(inheritable_thread_target(df.sparkSession)(score), numbers)
+        return pool.map(inheritable_thread_target(df.sparkSession)(of_fold), numbers)
 
 
 def summarise_cv(scores: list[float]) -> dict:
@@ -432,8 +449,8 @@ def train_prepared(
     ``parallelism`` is the number of folds worked on at a time.
     """
     plan = create_model(algorithm, data.task, params)
-    if scoring is not None and scoring not in SCORERS:
-        raise EvaluationError(f"Unknown scoring '{scoring}'; there are {', '.join(SCORERS)}.")
+    if scoring is not None:
+        check_scorer(scoring, data.task, data.classes)
     began = time.monotonic()
     options = {"classes": data.classes, "exclude": data.exclude, "seed": data.seed, **feature_options}
     cv_scores = {}
@@ -454,9 +471,11 @@ def train_prepared(
     if data.task == "classification":
         rows = class_distribution(data.validation, data.target, data.classes).collect()
         shares = {r["label"]: r["n"] for r in rows}
+    held_out = evaluation(model, data.validation, rows=data.n_validation)
     return TrainingResult(
         model=model,
-        metrics=evaluate(model, data.validation, rows=data.n_validation),
+        metrics=held_out.metrics,
+        confusion=held_out.confusion,
         train_metrics=evaluate(model, data.train, with_scores=False, rows=data.n_train),
         class_distribution=shares,
         cv_scores=cv_scores,
@@ -572,6 +591,7 @@ def save_model(spark: SparkSession, result: TrainingResult, path: str, *, overwr
         "metrics": result.metrics,
         "cv_scores": result.cv_scores,
         "feature_importance": result.feature_importance,
+        "confusion_matrix": result.confusion is not None,
         "estimators": [type(e).__name__ for e in m.models],
         "preprocessor": m.preprocessor.to_json(),
     }
@@ -581,6 +601,8 @@ def save_model(spark: SparkSession, result: TrainingResult, path: str, *, overwr
         frame.write.mode(mode).text(f"{path}/metadata")
     except AnalysisException as exc:
         raise ModelError(f"A model exists already in '{path}'; pass overwrite=True to replace it.") from exc
+    if result.confusion is not None:
+        result.confusion.write.mode(mode).parquet(f"{path}/confusion")
     for i, e in enumerate(m.models):
         if isinstance(e, BoostedClasses):
             e.save(spark, f"{path}/estimator_{i}", overwrite=overwrite)
@@ -602,6 +624,8 @@ def load_model(spark: SparkSession, path: str) -> tuple[FittedModel, dict]:
     models = [
         _MODEL_CLASSES[name].load(f"{path}/estimator_{i}") for i, name in enumerate(meta["estimators"])
     ]
+    if meta.get("confusion_matrix"):
+        meta["confusion_matrix"] = spark.read.parquet(f"{path}/confusion")
     model = FittedModel(
         meta["algorithm"],
         meta["task"],

@@ -115,10 +115,32 @@ def test_numbered_copies(spark):
     assert got == Counter([("a", i) for i in range(7)] + [("b", 0)] + [(None, i) for i in range(3)])
 
 
-def test_torn_key_is_reported(spark):
+def test_one_key_for_all_rows_is_torn_apart(spark):
     df = spark.range(100).withColumn("k", F.lit(1))
-    with pytest.raises(DataError, match="does not identify rows"):
-        split(df, key=["k"])
+    out = split(df, key=["k"])
+    assert parts(out) == {"test": 20, "validation": 10, "train": 70}
+    assert out.columns == ["id", "k", "split"] and out.select("id").distinct().count() == 100
+
+
+@pytest.mark.parametrize("local", [100_000, 0])
+def test_parts_of_repeated_keys_are_exact_and_repeatable(spark, monkeypatch, local):
+    monkeypatch.setattr(O, "MAX_LOCAL_GROUPS", local)
+    # Keys of 1 to 40 rows, among them equal rows; one key has a third of all.
+    df = spark.range(600).select(
+        F.when(F.col("id") < 200, -1).otherwise(F.floor(F.sqrt("id"))).alias("k"), (F.col("id") % 7).alias("v"),
+        F.when(F.col("id") % 5 > 0, F.lit("a")).alias("kind"),
+    )
+    out = split(df, key=["k"])
+    assert parts(out) == {"test": 120, "validation": 60, "train": 420}
+    again = split(df.repartition(7), key=["k"])
+    assert out.exceptAll(again).count() == 0
+    # At most one key for each of the two range ends is in several parts.
+    assert out.groupBy("k").agg(F.count_distinct("split").alias("n")).where("n > 1").count() <= 2
+    by_kind = split(df, key=["k"], stratify="kind")
+    assert parts(by_kind) == {"test": 120, "validation": 60, "train": 420}
+    assert parts(by_kind.where("kind = 'a'")) == {"test": 96, "validation": 48, "train": 336}
+    folds = kfold(df, folds=4, key=["k"])
+    assert {r["fold"]: r["count"] for r in folds.groupBy("fold").count().collect()} == {i: 150 for i in range(4)}
 
 
 def test_size_checks(spark):

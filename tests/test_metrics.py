@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 
 import pytest
@@ -91,3 +92,85 @@ def test_cv_summary_uses_the_population_deviation(spark):
 def test_binned_residuals_hold_every_row(spark):
     df = spark.range(100).selectExpr("id * 1.0d as actual", "id * 2.0d as prediction")
     assert M.binned_residuals(df, "actual", "prediction").agg({"n": "sum"}).first()[0] == 100
+
+
+def test_dense_matrix_in_blocks_and_sparse_one(spark, monkeypatch):
+    monkeypatch.setattr(M, "LABEL_BLOCK", 3)
+    random.seed(5)
+    actual = [random.choice("abcdefgh") for _ in range(60)] + [None]
+    prediction = [random.choice("abcdxy") for _ in range(60)] + ["a"]
+    df = spark.createDataFrame(list(zip(actual, prediction)), "actual string, prediction string")
+    want = {(a, p): 0 for a in {*actual, *prediction} for p in {*actual, *prediction}}
+    for pair in zip(actual, prediction):
+        want[pair] += 1
+    dense = M.confusion_matrix(df, "actual", "prediction")
+    assert {(r.actual, r.predicted): r.n for r in dense.collect()} == want and dense.count() == len(want)
+    sparse = M.confusion_matrix(df, "actual", "prediction", dense=False)
+    assert {(r.actual, r.predicted): r.n for r in sparse.collect()} == {k: n for k, n in want.items() if n}
+
+
+def test_many_labels_need_no_list(spark):
+    df = spark.range(100_000).selectExpr("id as actual", "if(id % 10 = 0, id + 1, id) as prediction")
+    sparse = M.confusion_matrix(df, "actual", "prediction", dense=False)
+    plan = sparse._jdf.queryExecution().executedPlan().toString()
+    assert "collect_set" not in plan and "collect_list" not in plan
+    assert sparse.count() == 100_000
+    assert M.classification_metrics(df, "actual", "prediction").first().accuracy == 0.9
+
+
+def test_scorers(spark):
+    random.seed(8)
+    actual = [random.choice(["no", "yes"]) for _ in range(300)]
+    p = [min(1.0, max(0.0, round(random.gauss(0.65 if y == "yes" else 0.4, 0.25), 2))) for y in actual]
+    prediction = ["yes" if v > 0.5 else "no" for v in p]
+    df = spark.createDataFrame(list(zip(actual, prediction, p, [1 - v for v in p])), "actual string, prediction string, py double, pn double")
+    value = lambda name: M.score(df, name, classes=["no", "yes"], probabilities={"no": "pn", "yes": "py"})
+
+    def recall(label):
+        return sum(a == q == label for a, q in zip(actual, prediction)) / actual.count(label)
+
+    def precision(label):
+        return sum(a == q == label for a, q in zip(actual, prediction)) / prediction.count(label)
+
+    share = {c: actual.count(c) / 300 for c in ("no", "yes")}
+    assert value("recall") == pytest.approx(recall("yes"), abs=1e-4)
+    assert value("balanced_accuracy") == pytest.approx((recall("yes") + recall("no")) / 2, abs=1e-4)
+    assert value("recall_weighted") == value("accuracy")
+    assert value("precision_weighted") == pytest.approx(sum(share[c] * precision(c) for c in share), abs=1e-4)
+    own = [min(max(v if y == "yes" else 1 - v, M.HAIR), 1 - M.HAIR) for y, v in zip(actual, p)]
+    assert value("neg_log_loss") == pytest.approx(sum(math.log(v) for v in own) / 300, abs=1e-4)
+    ap, recalled, total = 0.0, 0, actual.count("yes")
+    for t in sorted(set(p), reverse=True):
+        above = [y for y, v in zip(actual, p) if v >= t]
+        hits = above.count("yes")
+        ap += (hits - recalled) / total * hits / len(above)
+        recalled = hits
+    assert value("average_precision") == pytest.approx(ap, abs=1e-4)
+
+
+def test_balanced_accuracy_leaves_out_labels_that_are_only_predicted(spark):
+    df = frame(spark, ["a", "a", "b", "b"], ["a", "c", "b", "b"])
+    assert M.score(df, "balanced_accuracy", classes=["a", "b", "c"]) == 0.75
+    assert M.score(df, "recall_macro", classes=["a", "b", "c"]) == 0.5
+
+
+def test_regression_scorers(spark):
+    y, q = [1.0, 2.0, 4.0, 8.0, 16.0], [1.5, 2.0, 3.0, 9.0, 13.0]
+    df = frame(spark, y, q)
+    e = [a - b for a, b in zip(y, q)]
+    mean = sum(e) / 5
+    m = sum(y) / 5
+    want = 1 - sum((v - mean) ** 2 for v in e) / sum((v - m) ** 2 for v in y)
+    assert M.score(df, "explained_variance") == pytest.approx(want, abs=1e-4)
+    assert M.score(df, "neg_median_absolute_error") == -1.0
+    assert M.score(df, "neg_mean_absolute_error") == -1.1
+    for name, classes in (("bogus", None), ("f1", ["a", "b", "c"]), ("r2", ["a", "b"])):
+        with pytest.raises(EvaluationError):
+            M.check_scorer(name, "classification", classes)
+
+
+def test_average_precision_of_more_classes_and_of_none(spark):
+    df = spark.createDataFrame([("a", 0.9, 0.1), ("b", 0.2, 0.8), ("c", 0.5, 0.5)], "actual string, s0 double, s1 double")
+    assert M.average_precision(df, "actual", "s0", positive="a").first()[0] == 1.0
+    assert M.average_precision(df, "actual", "s0", positive="x").first()[0] is None
+    assert M.score(df.withColumn("prediction", df.actual), "average_precision", classes=["a", "b", "c"], probabilities={"a": "s0", "b": "s1", "c": "s0"}) == pytest.approx((1 + 1 + 0.5) / 3, abs=1e-4)

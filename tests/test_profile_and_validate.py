@@ -144,3 +144,43 @@ def test_labels(spark):
     assert coded == {"a": 0, "b": 1, None: -1, "z": -1}
     wide = [f"l{i}" for i in range(200)] + ["a"]
     assert V.encode_labels(df, "y", wide).where("y = 'a'").first().label_index == 200
+
+
+def test_correlation_of_pairs_with_holes(spark):
+    """Missing cells leave out a pair's rows only; the plan makes no row of its own for a pair."""
+    import numpy as np
+
+    random = np.random.default_rng(4)
+    x = random.normal(size=(500, 5)) + 1e9
+    x[:, 1] = x[:, 0] * 2 + random.normal(size=500)
+    x[:, 4] = 7.1
+    x[random.random(x.shape) < 0.3] = np.nan
+    rows = [[None if np.isnan(v) else float(v) for v in r] for r in x]
+    df = spark.createDataFrame(rows, ", ".join(f"c{i} double" for i in range(5))).repartition(6)
+    out = P.correlation_matrix(df)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.count("Scan") == 1
+    found = {(r["column"], r.other): r.correlation for r in out.collect()}
+    assert len(found) == 25
+    for i in range(5):
+        for j in range(5):
+            both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+            if 4 in (i, j):
+                assert found[f"c{i}", f"c{j}"] is None
+            else:
+                want = np.corrcoef(x[both, i] - 1e9, x[both, j] - 1e9)[0, 1]
+                assert found[f"c{i}", f"c{j}"] == pytest.approx(want, abs=1e-4)
+
+
+def test_target_facts_stop_at_the_limit(spark):
+    df = spark.range(5000).selectExpr(
+        "id * 0.37 as many", "id % 20 as twenty", "id % 21 as more", "id % 2 as two", "cast(null as int) as none",
+        "cast(id as string) as words", "if(id < 3000, 1, null) as one", "id % 41 as forty",
+    )
+    facts = {c: V.target_facts(df, c) for c in df.columns}
+    assert [facts[c].classes for c in df.columns] == [21, 20, 21, 2, 0, 21, 1, 21]
+    assert [facts[c].task for c in df.columns] == ["regression", "classification", "regression", "classification", None, "classification", None, "regression"]
+    assert facts["two"].binary and not facts["twenty"].binary and facts["one"].present == 3000
+    for c in df.columns:
+        exact = V.target_profile(df, c).first()
+        assert (exact.rows, exact.present, exact.task, exact["binary"]) == (facts[c].rows, facts[c].present, facts[c].task, facts[c]["binary"])
