@@ -33,11 +33,12 @@ since a removal may end inside a character.
 from __future__ import annotations
 
 from collections import defaultdict
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -320,6 +321,18 @@ def _later(found: DataFrame, firsts: DataFrame) -> DataFrame:
     return found.join(one, ["prefix", "whole"]).where(F.struct("key", "row", "start") != F.col("first")).select("unit", "row", "start", "n")
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Within it, the shuffle files of a query go as soon as its result is stored, not when memory is next tidied."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def repeats(units: DataFrame, batches: int) -> tuple[DataFrame, DataFrame]:
     """(unit, whole) of pieces repeated from another unit, and (unit, row, start, n) of single runs of strings."""
     family, repeated = Family(), []
@@ -352,8 +365,9 @@ def repeats(units: DataFrame, batches: int) -> tuple[DataFrame, DataFrame]:
 
 def deduplicate(docs: DataFrame, *, key: str = "doc_id", text: str = "text", batches: int = BATCHES) -> DataFrame:
     """For each document its key, n_bytes, the spans removed (bytes, end exclusive) and the bytes kept."""
-    units = packed(docs, batches, key=key, text=text)
-    elsewhere, later = repeats(units, batches)
+    with shuffles_dropped(docs.sparkSession):
+        units = packed(docs, batches, key=key, text=text)
+        elsewhere, later = repeats(units, batches)
     whole = elsewhere.groupBy("unit").agg(F.collect_list("whole").alias("whole"))
     single = later.groupBy("unit").agg(F.collect_list(F.struct("row", "start", "n")).alias("single"))
     rows = units.join(whole, "unit", "left").join(single, "unit", "left")
