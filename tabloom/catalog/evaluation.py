@@ -131,6 +131,88 @@ def cv_summary(spark, d):
     return M.cv_summary(folds)
 
 
+_LABELS = {"A": "score_a", "N": "score_n", "R": "score_r"}
+_CLASS_SCORERS = [f"{m}_{a}" for m in ("precision", "recall", "f1") for a in ("macro", "weighted")]
+_CLASS_SCORERS += ["accuracy", "balanced_accuracy", "neg_log_loss"]
+_BINARY_SCORERS = ["precision", "recall", "f1", "average_precision", "neg_log_loss"]
+_VALUE_SCORERS = ["r2", "explained_variance", "neg_median_absolute_error", "neg_root_mean_squared_error"]
+_KEPT = "least(greatest({}, pow(2, -52)), 1 - pow(2, -52))"
+
+
+def _scorer_rows(name: str, scorers: dict[str, str], source: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{name}' AS predictions, '{k}' AS scoring, cast(({v}) AS double) AS value FROM {source}" for k, v in scorers.items()
+    )
+
+
+_SCORING = f"""
+WITH p AS ({CLASSES}), {_PER_LABEL}, w AS (SELECT r.*, c.a, c.hit FROM r JOIN c USING (v)),
+b AS ({BINARY}), y AS ({VALUES}),
+bt AS (SELECT score, sum(CASE WHEN actual = 'O' THEN 1 ELSE 0 END) AS pos, count(*) AS n FROM b GROUP BY 1),
+bc AS (SELECT pos, sum(pos) OVER (ORDER BY score DESC) AS hits, sum(n) OVER (ORDER BY score DESC) AS above FROM bt)
+""" + " UNION ALL ".join(
+    [
+        _scorer_rows(
+            "classes",
+            {
+                **{f"{m}_macro": f"round(avg({m}), 4)" for m in ("precision", "recall", "f1")},
+                **{f"{m}_weighted": f"round(sum({m} * a) / sum(a), 4)" for m in ("precision", "recall", "f1")},
+                "accuracy": "round(sum(hit) / sum(a), 4)",
+                "balanced_accuracy": "round(avg(recall) FILTER (a > 0), 4)",
+            },
+            "w",
+        ),
+        _scorer_rows(
+            "classes",
+            {
+                "neg_log_loss": "round(avg(ln("
+                + _KEPT.format("CASE actual WHEN 'A' THEN score_a WHEN 'N' THEN score_n WHEN 'R' THEN score_r END")
+                + ")), 4)"
+            },
+            "p",
+        ),
+        _scorer_rows(
+            "binary",
+            {
+                "precision": "round(count(*) FILTER (actual = 'O' AND prediction = 'O') / count(*) FILTER (prediction = 'O'), 4)",
+                "recall": "round(count(*) FILTER (actual = 'O' AND prediction = 'O') / count(*) FILTER (actual = 'O'), 4)",
+                "f1": "round(2 * count(*) FILTER (actual = 'O' AND prediction = 'O') / (count(*) FILTER (actual = 'O') + count(*) FILTER (prediction = 'O')), 4)",
+                "neg_log_loss": "round(avg(ln(" + _KEPT.format("CASE actual WHEN 'O' THEN score ELSE 1 - score END") + ")), 4)",
+            },
+            "b",
+        ),
+        _scorer_rows("binary", {"average_precision": "round(sum(pos * hits / above) / sum(pos), 4)"}, "bc"),
+        _scorer_rows(
+            "values",
+            {
+                "r2": "round(1 - avg((actual - prediction) * (actual - prediction)) / var_pop(actual), 4)",
+                "explained_variance": "round(1 - var_pop(actual - prediction) / var_pop(actual), 4)",
+                "neg_median_absolute_error": "-round(quantile_cont(abs(actual - prediction), 0.5), 4)",
+                "neg_root_mean_squared_error": "-round(sqrt(avg((actual - prediction) * (actual - prediction))), 4)",
+            },
+            "y",
+        ),
+    ]
+)
+
+
+@query("scoring_table", _SCORING)
+def scoring_table(spark, d):
+    """Scorers by name over three tables of predictions."""
+    cases = [
+        ("classes", CLASS_SCORES, _CLASS_SCORERS, ["A", "N", "R"], _LABELS),
+        ("binary", BINARY_SCORES, _BINARY_SCORERS, ["F", "O"], {"O": "score", "F": "other"}),
+        ("values", VALUE_SCORES, _VALUE_SCORERS, None, None),
+    ]
+    rows = []
+    for name, sql, scorers, classes, columns in cases:
+        df = derived(spark, d, sql)
+        if name == "binary":
+            df = df.withColumn("other", 1 - F.col("score"))
+        rows += [(name, s, M.score(df, s, classes=classes, probabilities=columns)) for s in scorers]
+    return spark.createDataFrame(rows, "predictions string, scoring string, value double")
+
+
 _RULES = {"by_quantity": "l_quantity > 25", "by_discount": "l_discount > 0.055", "by_tax": "l_tax > 0.035"}
 
 

@@ -255,6 +255,23 @@ def holdout_split(spark, d):
     return S.holdout(df, stratify="o_orderstatus", key=["o_orderkey"])
 
 
+_KEY_DIGEST = "md5(concat(length(cast(user_id AS varchar)), ':', cast(user_id AS varchar), '-42'))"
+
+
+@query(
+    "holdout_repeated_ids",
+    f"""
+WITH e AS (SELECT event_id, user_id, {_KEY_DIGEST} AS h FROM events),
+r AS (SELECT event_id, user_id, count(*) OVER () AS n, row_number() OVER (ORDER BY h, md5(concat(
+    length(cast(event_id AS varchar)), ':', cast(event_id AS varchar), '-', length(cast(user_id AS varchar)), ':', cast(user_id AS varchar),
+    '-34:0:', h, '-1:0-42'))) AS rn FROM e)
+SELECT event_id, user_id, CASE WHEN rn <= ceil(n / 10) THEN 'validation' ELSE 'train' END AS split FROM r""",
+)
+def holdout_repeated_ids(spark, d):
+    """Users have many events each; the part of exact size ends among those of one user."""
+    return S.holdout(table(spark, d, "events").select("event_id", "user_id"), key=["user_id"])
+
+
 @query(
     "kfold_assign",
     f"""

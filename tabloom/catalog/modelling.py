@@ -197,6 +197,33 @@ def model_roundtrip(spark, d):
     return spark.createDataFrame(rows, "algorithm string, task string, target string, feature string")
 
 
+_BAND = "CASE WHEN p_size <= 15 THEN 'small' WHEN p_size <= 35 THEN 'medium' ELSE 'large' END"
+
+
+@query("evaluate_confusion", f"SELECT {_BAND} AS actual, {_BAND} AS predicted, count(*) AS n FROM part GROUP BY 1, 2")
+def evaluate_confusion(spark, d):
+    """Confusion matrix of a stored model of three bands of size, which one feature tells apart without error."""
+    df = parts(spark, d).withColumn("band", F.expr(_BAND))
+    params = {"n_estimators": 5, "max_bins": 64}
+    result = T.train_model(df, "band", algorithm="gradient_boosting", params=params, id_column="p_partkey", cv_folds=2)
+    model, meta = T.load_model(spark, T.save_model(spark, result, scratch_path(spark, "model")))
+    held_out = meta["confusion_matrix"].agg(F.sum("n")).first()[0]
+    if held_out != result.n_validation:
+        raise AssertionError(f"the stored matrix counts {held_out} rows of {result.n_validation}")
+    return T.evaluation(model, df).confusion
+
+
+@query("model_roundtrip_scores", "SELECT p_partkey, true AS same FROM part")
+def model_roundtrip_scores(spark, d):
+    """Predictions of every part by a model and by the same one stored and read again."""
+    result = _price(spark, d, "ridge")
+    stored, _ = T.load_model(spark, T.save_model(spark, result, scratch_path(spark, "model")))
+    rows = parts(spark, d).drop("price")
+    first, second = (T.predict(m, rows, "p_partkey").select("p_partkey", "prediction") for m in (result.model, stored))
+    both = first.withColumnRenamed("prediction", "before").join(second, "p_partkey")
+    return both.select("p_partkey", F.col("before").eqNullSafe(F.col("prediction")).alias("same"))
+
+
 @query("evaluate_model")
 def evaluate_model(spark, d):
     model, _ = _stored(spark, d)

@@ -113,6 +113,17 @@ def json_roundtrip(spark, d):
     return _dated(load_table(spark, path, "json")).select(*df.columns)
 
 
+@query("json_columns", "SELECT n_nationkey, n_name, cast(n_regionkey AS bigint) AS n_regionkey, n_nationkey / 4 AS quarter FROM nation")
+def json_columns(spark, d):
+    """One document that holds the 25 nations column by column, values by row number."""
+    df = table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey", (F.col("n_nationkey") / 4).alias("quarter"))
+    cells = lambda c: F.map_from_entries(F.collect_list(F.struct(F.col("n_nationkey").cast("string"), F.col(c))))
+    document = df.agg(*[cells(c).alias(c) for c in df.columns]).select(F.to_json(F.struct(*df.columns)).alias("value"))
+    path = scratch_path(spark, "json")
+    document.coalesce(1).write.text(path)
+    return load_table(spark, path, "json")
+
+
 @query("jsonl_roundtrip", f"SELECT {ORDER_COLUMNS} FROM orders")
 def jsonl_roundtrip(spark, d):
     df = _orders(spark, d)

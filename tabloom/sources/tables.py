@@ -35,6 +35,10 @@ def format_of(path: str, fmt: str | None = None) -> str:
     return FORMATS[suffix]
 
 
+#: How a document begins that holds values by row number under each column.
+_BY_COLUMN = r'^\s*\{\s*"(?:[^"\\]|\\.)*"\s*:\s*\{\s*"\d+"\s*:'
+
+
 def load_table(
     spark: SparkSession,
     path: str,
@@ -70,18 +74,37 @@ def load_table(
 
 
 def _read_json(spark: SparkSession, path: str, document: bool, schema) -> DataFrame:
+    if document and schema is None:
+        first = spark.read.text(path, wholetext=True).select(F.col("value").rlike(_BY_COLUMN)).first()
+        if first and first[0]:
+            return _read_json_columns(spark, path)
     reader = spark.read.option("mode", "FAILFAST")
     if schema is not None:
         reader = reader.schema(schema)
-    df = reader.json(path, multiLine=document)
-    # Such a document has, under each column, values by row number.
-    if document and df.columns and all(
-        isinstance(f.dataType, T.StructType) and all(n.isdigit() for n in f.dataType.names) for f in df.schema
-    ):
-        raise DataError(
-            f"'{path}' is a column-oriented JSON document; only an array of records can be read."
-        )
-    return df
+    return reader.json(path, multiLine=document)
+
+
+def _read_json_columns(spark: SparkSession, path: str) -> DataFrame:
+    """Documents that hold, under each column, values by row number.
+
+    Each is read as maps of cells, which are dealt out by row and put together again, so a row's width is the
+    number of columns and no schema grows with the rows. Types are those that all cells of a column share.
+    """
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    cells = F.from_json("value", "map<string,map<string,variant>>", {"mode": "FAILFAST"})
+    names = text.select(F.map_keys(cells).alias("names"))
+    order = [r[0] for r in names.select(F.posexplode("names").alias("at", "name")).groupBy("name").agg(F.min("at").alias("at")).orderBy("at", "name").collect()]
+    long = text.select("file", F.explode(cells).alias("name", "cells")).select("file", "name", F.explode("cells").alias("row", "cell"))
+    kinds = dict(long.groupBy("name").agg(F.schema_of_variant_agg("cell")).collect())
+    known = {"BIGINT": "bigint", "BOOLEAN": "boolean", "DOUBLE": "double", "STRING": "string", "VOID": "string"}
+    kind = {n: "double" if kinds.get(n, "VOID").startswith("DECIMAL") else known.get(kinds.get(n, "VOID"), "string") for n in order}
+    found = [F.max(F.when(F.col("name") == n, F.try_variant_get("cell", "$", kind[n]))).alias(n) for n in order]
+    rows = long.groupBy("file", F.col("row").cast("bigint").alias("row")).agg(*found)
+    return rows.select(*[F.col(_quote(n)) for n in order])
+
+
+def _quote(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def save_table(

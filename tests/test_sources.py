@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,8 +105,19 @@ def test_json(spark, tmp_path):
     assert rows(df) == [(1,), (2,)]
     df = load_table(spark, write(tmp_path, "c.json", '[{"a": {"x": 1}, "b": {"y": 2}}]'))
     assert [r.a.x for r in df.collect()] == [1]
-    with pytest.raises(DataError, match="column-oriented"):
-        load_table(spark, write(tmp_path, "b.json", '{"a": {"0": 1}, "b": {"0": 2}}'))
+
+
+def test_json_by_column(spark, tmp_path):
+    text = '{"a b": {"0": 1, "1": 2, "10": null}, "t": {"1": "x", "0": "é \\"q\\""}, "f": {"0": 0.5, "1": 2, "10": 1e300}, "u": {"0": null}, "m": {"0": 1, "1": "z"}}'
+    df = load_table(spark, write(tmp_path, "b.json", text))
+    assert df.columns == ["a b", "t", "f", "u", "m"]
+    assert [f.dataType.simpleString() for f in df.schema] == ["bigint", "string", "double", "string", "string"]
+    assert sorted(rows(df), key=str) == [(1, 'é "q"', 0.5, None, "1"), (2, "x", 2.0, None, "z"), (None, None, 1e300, None, None)]
+    many = json.dumps({"a": {str(i): i for i in range(5000)}, "b": {str(i): str(i) for i in range(5000)}})
+    wide = load_table(spark, write(tmp_path, "many.json", many))
+    assert wide.columns == ["a", "b"] and wide.count() == 5000 and wide.where("b = cast(a as string)").count() == 5000
+    # The same shape one level down is a record with structs, and one without row numbers is a record.
+    assert load_table(spark, write(tmp_path, "r.json", '{"a": {"x": 1}, "b": {"y": 2}}')).first().a.x == 1
 
 
 def test_errors(spark, tmp_path):
