@@ -79,5 +79,11 @@ def add_columns(
     return source.mapInArrow(run, schema)
 
 
+def map_rows(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """``mapInArrow`` that keeps the columns, whatever they are called: within, they are named by place."""
+    schema = T.StructType([T.StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(rows.schema)])
+    return rows.toDF(*schema.names).mapInArrow(run, schema).toDF(*rows.columns)
+
+
 def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.batches import add_columns, by_bytes
+from tabloom.llm.batches import add_columns, by_bytes, map_rows
 
 #: Labelled rows to fit on, as expected by the share taken; more labels do not make the model larger.
 MAX_ROWS = 20_000
@@ -231,10 +231,11 @@ def without_rejected(docs: DataFrame, model: OrdinalModel, *, text: str = "text"
 
     def run(batches):
         judge = _judge(model)
-        for rows, column, _ in by_bytes(batches, text):
+        for rows, column, _ in by_bytes(batches, place):
             yield rows.filter(pa.array(judge(column)[:, 0] < reject_at))
 
-    return docs.mapInArrow(run, docs.schema)
+    place = f"c{docs.columns.index(text)}"
+    return map_rows(docs, run)
 
 
 def score_texts(

@@ -21,7 +21,8 @@ wherever a vector stands, so equal vectors tie and go by id.
 
 Defined results: vectors that are missing, zero, or hold missing or non-finite components, and those of
 another length than most, take no part. Repeated rows are candidates each. A row without id is a
-candidate with a missing id, behind others of the same score, and no query. An empty table gives no rows.
+candidate with a missing id, behind others of the same score, and no query. An id must be a whole number. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -246,8 +247,10 @@ def search(
         def merged():
             """The best of each query over the blocks held."""
             table = pa.Table.from_batches(held).combine_chunks()
-            order = np.lexsort((table["place"].to_numpy(), -table["score"].to_numpy(), table["query"].to_numpy()))
-            query, row = table["query"].to_numpy()[order], table["row"].to_numpy()[order]
+            keys = ("place", "absent", "score", "query")
+            place, absent, score, query = (table[c].to_numpy(zero_copy_only=False) for c in keys)
+            order = np.lexsort((place, absent, -score, query))
+            query, row = query[order], table["row"].to_numpy()[order]
             _, once = np.unique(np.stack([query, row]), axis=1, return_index=True)
             order = order[np.sort(once)]
             query = table["query"].to_numpy()[order]
@@ -265,12 +268,11 @@ def search(
             near, who = pa.array(j + ask), pa.array(i)
             near_id = block["id"].combine_chunks().take(near)
             # Ids decide between equal scores of different blocks; a missing one comes last.
-            place = near_id.to_numpy(zero_copy_only=False)
-            place = np.where(near_id.is_null().to_numpy(zero_copy_only=False), np.inf, place).astype(np.float64)
+            place = near_id.cast(pa.int64()).fill_null(0)
             held.append(
                 pa.RecordBatch.from_arrays(
-                    [pa.array(row[i]), block["id"].combine_chunks().take(who), pa.array(row[j + ask]), near_id, pa.array(score), pa.array(place)],
-                    names=["query", "query_id", "row", "id", "score", "place"],
+                    [pa.array(row[i]), block["id"].combine_chunks().take(who), pa.array(row[j + ask]), near_id, pa.array(score), place, near_id.is_null()],
+                    names=["query", "query_id", "row", "id", "score", "place", "absent"],
                 )
             )
             size += len(i)
@@ -283,7 +285,7 @@ def search(
         if held:
             yield from merged()
 
-    best = dealt.mapInArrow(run, f"query long, query_id {kind}, row long, id {kind}, score double, place double")
+    best = dealt.mapInArrow(run, f"query long, query_id {kind}, row long, id {kind}, score double, place long, absent boolean")
     # A vector may be found in several lists.
     once = best.groupBy("query", "row").agg(*[F.first(c).alias(c) for c in ("query_id", "id", "score")])
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.col("id").asc_nulls_last(), "row"))

@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabloom.llm.batches import add_columns, texts
+from tabloom.llm.batches import _quoted, add_columns, map_rows, texts
 
 # The base kinds, in order.
 KINDS = ("assign", "access", "hex")
@@ -490,7 +490,8 @@ def redact(docs: DataFrame, *, text: str = "text", mask: str = "[secret]") -> Da
 
     place = docs.columns.index(text)
     if not isinstance(docs.schema[place].dataType, T.StringType):
-        docs = docs.withColumn(text, F.col(text).cast("string"))
+        named = [F.col(_quoted(c)) for c in docs.columns]
+        docs = docs.select(*named[:place], named[place].cast("string").alias(text), *named[place + 1 :])
 
     def run(batches):
         for batch in batches:
@@ -498,7 +499,7 @@ def redact(docs: DataFrame, *, text: str = "text", mask: str = "[secret]") -> Da
             arrays[place] = pa.array(hidden(batch.column(place)), batch.schema.field(place).type)
             yield pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)
 
 
 def masked(text: str, spans, mask: str) -> str:

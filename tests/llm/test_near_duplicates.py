@@ -225,3 +225,14 @@ def test_graph_search_finds_the_nearest():
     assert np.mean([len(set(a) & set(b[:64])) / 32 for a, b in zip(best.tolist(), found.tolist())]) > 0.97
     parts = posting.halved(random.normal(size=(1000, 4)), 16)
     assert parts.shape == (16, 4)
+
+
+def test_equal_neighbours_go_by_ids_beyond_doubles(spark, monkeypatch):
+    monkeypatch.setattr(posting, "LIST_PART", 10)
+    first = 1 << 60
+    rows = [(first + i, [1.0, 0.5]) for i in range(200)] + [(20, [2.0, 1.0]), (None, [1.0, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    found = posting.search(df, F.col("id") == 20).orderBy("rank").collect()
+    assert [r.vec_id for r in found] == [first + i for i in range(20)]
+    few = posting.search(df.where(F.col("vec_id").isNull() | (F.col("vec_id") < first + 5)), F.col("id") == 20).orderBy("rank").collect()
+    assert [r.vec_id for r in few] == [*(first + i for i in range(5)), None]

@@ -38,6 +38,9 @@ def test_stages_keep_columns_and_awkward_rows(spark):
         out = stage(spark, docs, SF)
         assert (out.columns == docs.columns) == (name != "encoding"), name
         assert out.count() <= docs.count()
+        if name != "encoding":
+            extra = [F.col(f"`{c}`") for c in docs.columns if c not in cp.OWN]
+            assert len(extra) == 12 and out.select(*extra).exceptAll(docs.select(*extra)).count() == 0, name
     assert Counter(r.doc_id for r in cp.secrets(spark, docs, SF).collect()) == Counter(r.doc_id for r in docs.collect())
     empty = documents(spark, empty=True)
     for _, stage in cp.STAGES:
