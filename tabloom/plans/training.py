@@ -38,6 +38,7 @@ from tabloom.operators.split import holdout, kfold
 from tabloom.operators.validate import check_target, encode_labels
 from tabloom.plans.boosting import BoostedClasses
 from tabloom.plans.boosting import fit as fit_boosted
+from tabloom.plans.folds import ridge_scores
 from tabloom.plans.registry import ModelPlan, available_models, create_model
 
 MAX_CLASSES = 10_000
@@ -321,10 +322,19 @@ def cross_validate(
 ) -> list[float]:
     """One score per fold of a frame with a fold column; preprocessing is fitted anew per fold.
 
+    Ridge models are scored from sums of products by fold, as many scans as for one fold.
+
     ``parallelism`` folds run at a time, each keeping its feature matrix.
     """
     scoring = scoring or task_metrics(plan.task).scoring
     check_scorer(scoring, plan.task, classes)
+    if plan.algorithm == "ridge":
+        scores = ridge_scores(
+            df, target, plan.params["alpha"], fold=fold, scoring=scoring, exclude=exclude,
+            fit_intercept=plan.params.get("fit_intercept", True), **feature_options,
+        )
+        if scores is not None:
+            return scores
     numbers = sorted(r[0] for r in df.select(fold).distinct().collect())
 
     def of_fold(i) -> float:

@@ -181,3 +181,17 @@ def test_given_spec_bounds_the_levels(spark):
     assert len(fit_preprocessor(wide, spec).levels["c"]) == 300
     with pytest.raises(DataError, match="more than 100 levels"):
         fit_preprocessor(wide, spec, max_given_levels=100)
+
+
+def test_a_row_of_many_levels_is_short(spark):
+    """100 columns of 50 levels make 5,000 places, of which a row holds 100."""
+    columns = [(F.col("id") * (i + 1) % 50).cast("string").alias(f"c{i}") for i in range(100)]
+    df = spark.range(150).select(F.col("id").cast("double").alias("n"), *columns)
+    spec = FeatureSpec(["n"], [f"c{i}" for i in range(100)])
+    levels = {f"c{i}": sorted(str(v) for v in range(50)) for i in range(100)}
+    model = PreprocessorModel(spec, "onehot", "ignore", {"n": 1.0}, {}, {}, {c: "0" for c in levels}, levels)
+    vectors = [r.features for r in model.with_vector(df).select("features").where("n > 0").collect()]
+    assert {len(v) for v in vectors} == {5001} and {len(v.indices) for v in vectors} == {101}
+    new = spark.createDataFrame([(2.0, *["nowhere"] * 100)], df.schema)
+    (row,) = model.with_vector(new).collect()
+    assert row.features.indices.tolist() == [0] and row.features.values.tolist() == [2.0]
