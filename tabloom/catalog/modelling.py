@@ -179,7 +179,7 @@ def compare_models(spark, d):
 
 
 def _stored(spark, d):
-    result = _price(spark, d, "ridge", cv_folds=0)
+    result = _price(spark, d, "ridge")
     return T.load_model(spark, T.save_model(spark, result, scratch_path(spark, "model")))
 
 
@@ -224,6 +224,40 @@ def model_roundtrip_scores(spark, d):
     return both.select("p_partkey", F.col("before").eqNullSafe(F.col("prediction")).alias("same"))
 
 
+_RIDGE = """
+WITH p AS (SELECT p_partkey % 1000 AS a, p_size AS b, p_retailprice + (p_partkey * 7919) % 97 AS y,
+    md5(concat(length(cast(p_partkey AS varchar)), ':', cast(p_partkey AS varchar), '-42')) AS h FROM part),
+r AS (SELECT *, row_number() OVER (ORDER BY h) AS rn, cast(ceil(count(*) OVER () / 10) AS bigint) AS held, count(*) OVER () AS rows FROM p),
+k AS (SELECT a, b, y, rn - held AS rn, rows - held AS rows, (rows - held) // 5 AS q, (rows - held) % 5 AS x FROM r),
+d AS (SELECT a, b, y, CASE WHEN rn < 1 THEN -1 WHEN rn <= x * (q + 1) THEN (rn - 1) // (q + 1) ELSE x + (rn - 1 - x * (q + 1)) // q END AS fold FROM k),
+-- Part -1 is held out of the whole training, parts 0 to 4 are the folds within it.
+t AS (SELECT f, a, b, y FROM d, range(-1, 5) AS u(f) WHERE d.fold >= 0 AND d.fold <> f),
+s AS (SELECT f, avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb, avg(y) AS my FROM t GROUP BY f),
+z AS (SELECT f, (a - ma) / sa AS a, (b - mb) / sb AS b, y - my AS y FROM t JOIN s USING (f)),
+g AS (SELECT f, sum(a * a) + 1 AS aa, sum(a * b) AS ab, sum(b * b) + 1 AS bb, sum(a * y) AS ay, sum(b * y) AS yb FROM z GROUP BY f),
+w AS (SELECT f, (bb * ay - ab * yb) / (aa * bb - ab * ab) AS wa, (aa * yb - ab * ay) / (aa * bb - ab * ab) AS wb FROM g),
+e AS (SELECT s.f, d.y, my + wa * (a - ma) / sa + wb * (b - mb) / sb AS q FROM d JOIN s ON d.fold = s.f JOIN w ON w.f = s.f),
+m AS (SELECT f, avg(abs(y - q)) AS mae, avg((y - q) * (y - q)) AS mse, var_pop(y) AS v FROM e GROUP BY f)
+SELECT 'hold-out' AS part, 'mae' AS metric, round(mae, 4) AS value FROM m WHERE f = -1
+UNION ALL SELECT 'hold-out', 'mse', round(mse, 4) FROM m WHERE f = -1
+UNION ALL SELECT 'hold-out', 'rmse', round(sqrt(mse), 4) FROM m WHERE f = -1
+UNION ALL SELECT 'hold-out', 'r2', round(1 - mse / v, 4) FROM m WHERE f = -1
+UNION ALL SELECT 'fold', cast(f AS varchar), round(1 - mse / v, 4) FROM m WHERE f >= 0
+"""
+
+
+@query("evaluate_ridge", _RIDGE)
+def evaluate_ridge(spark, d):
+    """Scores of a ridge model of two numbers and of its folds, which SQL has from the normal equations."""
+    df = parts(spark, d).select(
+        "p_partkey", "serial", "p_size", (F.col("price") + F.col("p_partkey") * 7919 % 97).alias("price")
+    )
+    result = T.train_model(df, "price", algorithm="ridge", id_column="p_partkey")
+    rows = [("hold-out", k, v) for k, v in result.metrics.items()]
+    rows += [("fold", str(i), v) for i, v in enumerate(result.cv_scores["cv_scores"])]
+    return spark.createDataFrame(rows, "part string, metric string, value double")
+
+
 @query("evaluate_model")
 def evaluate_model(spark, d):
     model, _ = _stored(spark, d)
@@ -247,7 +281,7 @@ def predict_scores(spark, d):
 @query("predict_sink", "SELECT p_partkey, true AS has_prediction FROM part")
 def predict_sink(spark, d):
     """Predictions of every part written as text and read back."""
-    model = _price(spark, d, "ridge", cv_folds=0).model
+    model = _price(spark, d, "ridge").model
     scored = T.predict(model, parts(spark, d).drop("price"), "p_partkey")
     back = load_table(spark, save_table(scored, scratch_path(spark, "predictions"), "csv"), "csv")
     return back.select("p_partkey", F.col("prediction").isNotNull().alias("has_prediction"))
@@ -255,5 +289,5 @@ def predict_sink(spark, d):
 
 @query("predict_preview")
 def predict_preview(spark, d):
-    model = _price(spark, d, "ridge", cv_folds=0).model
+    model = _price(spark, d, "ridge").model
     return T.predict_preview(T.predict(model, parts(spark, d).drop("price"), "p_partkey"), "p_partkey")

@@ -191,5 +191,5 @@ def _score(held: np.ndarray, weights: np.ndarray, scoring: str) -> float:
     error = max(0.0, yy - 2 * weights @ held[:-1, -1] + weights @ held[:-1, :-1] @ weights)
     if scoring == "r2":
         total = yy - y * y / n
-        return round(1 - error / total if total > 0 else float(error == 0), 4)
-    return -round(error / n if scoring == "neg_mean_squared_error" else (error / n) ** 0.5, 4)
+        return round(float(1 - error / total if total > 0 else error == 0), 4)
+    return -round(float(error / n if scoring == "neg_mean_squared_error" else (error / n) ** 0.5), 4)
