@@ -8,7 +8,7 @@ from tabloom.catalog.common import DIRTY_CUSTOMER, ORACLES, derived, duck, query
 from tabloom.functions.storage import scratch_path
 from tabloom.operators import features as X
 from tabloom.operators import split as S
-from tabloom.sources.tables import save_splits
+from tabloom.sources.tables import load_table, save_splits, save_table
 
 # Parts with missing sizes and brands; p_name has more levels than a category may have.
 PARTS = """
@@ -172,7 +172,7 @@ FROM o, s
 
 
 def _matrix(spark, d, known=None):
-    df = table(spark, d, "orders").drop("o_orderdate")
+    df = table(spark, d, "orders")
     fit = df.where(known) if known else df
     model = X.fit_preprocessor(fit, exclude=["o_orderkey"])
     return _rounded(model.transform(df, keep=["o_orderkey"]), ["o_orderkey"])
@@ -183,6 +183,18 @@ def feature_matrix(spark, d):
     return _matrix(spark, d)
 
 
+@query("feature_build", _MATRIX.replace("{fit}", "true").replace("{flags}", "o_orderpriority"))
+def feature_build(spark, d):
+    """The matrix of a whole dataset with its target, by a preprocessor that was stored and read again; both are written."""
+    df = table(spark, d, "orders")
+    fitted = X.fit_preprocessor(df, exclude=["o_orderkey", "o_orderpriority"])
+    path = scratch_path(spark, "preprocessor")
+    fitted.save(spark, path)
+    kept = ["o_orderkey", "o_orderpriority"]
+    matrix = X.PreprocessorModel.load(spark, path).transform(df, keep=kept)
+    return load_table(spark, save_table(_rounded(matrix, kept), scratch_path(spark, "matrix"), "parquet"), "parquet")
+
+
 @query(
     "feature_transform_holdout",
     _MATRIX.replace("{fit}", "o_orderpriority <> '1-URGENT'").replace("{flags}", _flags(_PRIORITIES[1:])),
