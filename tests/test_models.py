@@ -174,3 +174,20 @@ def test_macro_scoring_on_two_classes(customers):
 def test_classes_of_any_type_are_stored(spark):
     for classes in ([Decimal("1.50"), Decimal("2.00")], [date(2020, 1, 1), date(2021, 1, 1)], ["a", "b"], [0, 1]):
         assert T._classes_from_text(spark, json.loads(json.dumps(T._classes_as_text(classes)))) == classes
+
+
+def test_memory_of_a_forest_pass_follows_the_session(spark):
+    # 8 GB over 8 cores, of which a task takes a quarter; never below the estimators' default.
+    assert T.tree_memory_mb(spark) == 256
+    plan = create_model("random_forest", "regression", FEW)
+    est = plan.estimator(rows=10, memory_mb=700)
+    assert est.getMaxMemoryInMB() == 700 and est.getCacheNodeIds() and est.getCheckpointInterval() == 10
+
+
+def test_training_keeps_the_confusion_matrix(spark, customers, forest):
+    counts = {(r.actual, r.predicted): r.n for r in forest.confusion.collect()}
+    assert sum(counts.values()) == forest.n_validation
+    right = sum(n for (a, p), n in counts.items() if a == p)
+    assert round(right / forest.n_validation, 4) == forest.metrics["accuracy"]
+    whole = T.evaluation(forest.model, customers)
+    assert whole.confusion.agg(F.sum("n")).first()[0] == 1500 and whole.metrics == evaluate(forest.model, customers)
