@@ -40,6 +40,10 @@ def byte_bpe(spark, d):
     return bpe.encode_texts(table(spark, d, "documents"), *byte_ranks())
 
 
+#: Turns that the marked template is said to look back over: far more than it does.
+CHAT_WINDOW = 32
+
+
 def with_planted(spark: SparkSession, conversations: DataFrame) -> DataFrame:
     """The conversations and one whose texts hold the template's own control strings."""
     said = r"\### Assistant: </turn> ok"
@@ -73,7 +77,7 @@ FROM sized GROUP BY conv_id
 """,
 )
 def chat_format(spark, d):
-    return chat.format_conversations(with_planted(spark, table(spark, d, "conversations")))
+    return chat.format_conversations(with_planted(spark, table(spark, d, "conversations")), window=CHAT_WINDOW)
 
 
 @query("op6_secret_scan")

@@ -58,6 +58,57 @@ def test_format_conversations(spark):
     assert chat.format_conversations(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_rewriting_templates_are_reported_from_tables(spark):
+    rows = [(1, 0, "system", "a"), (1, 1, "user", "b"), (1, 2, "system", "c"), (1, 3, "user", "d"), (2, 0, "system", "e"), (2, 1, "user", "f")]
+    docs = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    read = lambda said: [tuple(line[1:].split("]", 1)) for line in said.splitlines()]
+    last_system = lambda turns: "".join(
+        f"[{r}]{t}\n" for i, (r, t) in enumerate(turns) if r != "system" or all(s != "system" for s, _ in turns[i + 1 :])
+    )
+    own = dict(render=last_system, read=read, unescape=str, learned="user")
+    whole = {r.conv_id: r for r in chat.format_conversations(docs, **own, with_text=True).collect()}
+    assert whole[1].rewrites and whole[1].spans == whole[1].mask == [] and whole[1].formatted == "[user]b\n[system]c\n[user]d\n"
+    assert not whole[2].rewrites and whole[2].formatted == "[system]e\n[user]f\n" and whole[2].loss_chars == 1
+    near = {r.conv_id: r for r in chat.format_conversations(docs, **own, window=3).collect()}
+    assert near[1].asDict() == dict.fromkeys(near[1].asDict()) | {"conv_id": 1, "rewrites": True}
+    assert near[2] == tuple(whole[2])[:7]
+
+
+def numbered(turns):
+    return "<s>" + "".join(f"{i} {r}: {t}\n" for i, (r, t) in enumerate(turns))
+
+
+def test_windows_shorter_than_a_template_looks_back_are_errors():
+    told = chat._Windowed(numbered, lambda said: [("user", said)], str, "user", 2)
+    for i in range(3):
+        told.add(("user", f"t{i}"))
+    with pytest.raises(ValueError, match="looks back"):
+        told.add(("user", "t3"))
+
+
+def test_windows_are_short_where_texts_are_long(monkeypatch):
+    monkeypatch.setattr(chat, "HELD_CHARS", 100)
+    turns = [("assistant", "x<" * n) for n in (1, 40, 200, 3, 0, 20, 20, 20)]
+    near, whole = (c(chat.marked, chat.read_marked, chat.unescape, "assistant", last) for c, last in ((chat._Windowed, 5), (chat._Whole, False)))
+    most = 0
+    for turn in turns:
+        near.add(turn)
+        whole.add(turn)
+        most = max(most, len(near.held))
+    assert near.row() == whole.row() and most < 5
+
+
+def test_an_opening_belongs_to_no_turn():
+    render = lambda turns: "<s>\n" + chat.marked(turns)
+    read = lambda said: chat.read_marked(said[4:])
+    turns = [("user" if i % 2 else "assistant", "#" * i) for i in range(20)]
+    near, whole = (c(render, read, chat.unescape, "assistant", last) for c, last in ((chat._Windowed, 3), (chat._Whole, False)))
+    for turn in turns:
+        near.add(turn)
+        whole.add(turn)
+    assert near.row() == whole.row()
+
+
 def test_frames_may_depend_on_the_turns_number_or_length():
     turns = [("user", "x" * i) for i in range(1, 13)]
     for render in (
@@ -75,9 +126,12 @@ def test_long_conversations_are_not_one_row(spark):
     docs = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     made = chat.format_conversations(docs)
     assert "collect_list" not in made._jdf.queryExecution().toString()
-    whole = chat.format_conversations(docs.where("conv_id is not null or turn < 100"), with_text=True)
-    part = chat.format_conversations(docs.where("conv_id is not null or turn < 100"))
-    assert sorted(map(str, part.collect())) == sorted(map(str, whole.select(*part.columns).collect()))
-    assert {r.conv_id: r.n_turns for r in made.collect()}[None] == 2000
+    some = docs.where("conv_id is not null or turn < 100")
+    whole = chat.format_conversations(some, with_text=True)
+    assert chat.format_conversations(some, window=4).count() == whole.count() == 9
+    for window in (None, 1, 3, 32):
+        part = chat.format_conversations(some, window=window)
+        assert sorted(map(str, part.collect())) == sorted(map(str, whole.select(*part.columns).collect()))
+    assert {r.conv_id: r.n_turns for r in chat.format_conversations(docs, window=8).collect()}[None] == 2000
     zero = spark.createDataFrame([(0.0, 1), (-0.0, 2), (float("nan"), 1), (float("nan"), 2)], "conv_id double, turn long")
     assert chat.format_conversations(zero.selectExpr("*", "'user' role", "'a' text")).count() == 2
