@@ -132,7 +132,7 @@ levels AS (
   FROM levels WHERE t > 0
 ),
 """
-    + raking.sweep_sql(MIX_DIMS)
+    + raking.sweep_sql(MIX_DIMS, 24)
     + """
 SELECT doc_id, source, lang, topic, cast(n AS bigint) AS n_tokens, round(factor, 6) AS weight,
   round(least(1.0, factor / (SELECT max(factor) FROM raked WHERE tokens > 0)), 6) AS probability,

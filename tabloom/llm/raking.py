@@ -13,6 +13,9 @@ Defined results: a missing level is the level ``(none)``. A text that is missing
 and no influence on the factors, and follows its cell. A cell without tokens keeps the factor its
 levels give it. A level without a target keeps its share, one without tokens is left out. Repeated
 rows are decided alike, a missing key counts as an empty one, and an empty table gives no rows.
+Targets that no weights can meet (a level that is the only one of another's documents, with a smaller
+share) are an error where the caller gives them; where they are tempered, the last sweep's factors are
+used. ``mix_departure`` tells how far a level's tokens were from their target, at most, before the last sweep.
 Columns added have a ``mix_`` prefix; other columns stay.
 """
 
@@ -23,11 +26,16 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.functions.storage import staged
+from tabloom.functions.storage import remove, staged
 
 BROADCAST_CELLS = 100_000
-SWEEPS = 12
+#: Sweeps go on until no level departs further from its target, as a share of it ...
 TOLERANCE = 1e-10
+#: ... or, where targets contradict each other or nearly do, until departures fall by less than 1% in ten sweeps,
+#: and for this many sweeps at most.
+SWEEPS = 150
+#: Departure from which targets given by the caller count as impossible.
+IMPOSSIBLE = 1e-3
 
 
 def words(text: str = "text") -> Column:
@@ -69,18 +77,19 @@ def tempered(cells: DataFrame, dim: str, power: float) -> DataFrame:
 
 def rake(
     cells: DataFrame, targets: Mapping[str, DataFrame], *, sweeps: int = SWEEPS, tolerance: float = TOLERANCE
-) -> DataFrame:
-    """The cells with ``factor``; ``targets`` maps a dimension to (level, share).
+) -> tuple[DataFrame, float]:
+    """The cells with ``factor``, and the largest departure left; ``targets`` maps a dimension to (level, share).
 
     Each sweep is written to the shared folder, which cuts the lineage, and its largest departure from a
-    target before scaling ends the sweeps when it is within ``tolerance``.
+    target before scaling ends the sweeps when it is within ``tolerance`` or no longer falls.
     """
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     aims = {
         d: staged(t.select(F.col("level").alias(d), (F.col("share") * total).alias("aim")).coalesce(1), "aims")
         for d, t in targets.items()
     }
-    now = staged(cells.withColumn("factor", F.lit(1.0)), "cells")
+    now = now_stored = staged(cells.withColumn("factor", F.lit(1.0)), "cells")
+    worst, past = 0.0, []
     for _ in range(sweeps):
         apart = F.lit(0.0)
         for dim, aim in aims.items():
@@ -90,12 +99,14 @@ def rake(
             apart = F.greatest(apart, F.abs(F.col("scale") - 1))
             now = now.withColumn("factor", F.col("factor") * F.col("scale")).withColumn("apart", apart).drop("scale")
             apart = F.col("apart")
-        now = staged(now, "cells")
-        worst = now.agg(F.max("apart")).first()[0] or 0.0
-        now = now.drop("apart")
-        if worst <= tolerance:
+        before, after = now_stored, staged(now, "cells")
+        remove(before)
+        worst = after.agg(F.max("apart")).first()[0] or 0.0
+        now_stored, now = after, after.drop("apart")
+        past.append(worst)
+        if worst <= tolerance or len(past) > 10 and worst > 0.99 * past[-11]:
             break
-    return now
+    return now, worst
 
 
 def uniform(key: Column, seed: str) -> Column:
@@ -114,15 +125,17 @@ def mix(
     targets: Mapping[str, DataFrame] | None = None,
     seed: str = "mix",
 ) -> DataFrame:
-    """The rows with mix_weight (calibrated factor), mix_probability and mix_kept.
+    """The rows with mix_weight (calibrated factor), mix_departure, mix_probability and mix_kept.
 
     ``targets`` gives (level, share) of each dimension; without it, shares are tempered by ``power``.
     """
     cells = staged(cells_of(rows, dims, tokens), "cells")
     power = power if isinstance(power, Mapping) else dict.fromkeys(dims, power)
-    raked = rake(cells, targets or {d: tempered(cells, d, power[d]) for d in dims})
+    raked, departure = rake(cells, targets or {d: tempered(cells, d, power[d]) for d in dims})
+    if targets and departure > IMPOSSIBLE:
+        raise ValueError(f"no weights meet the targets: a level stays off by {departure:.2g} of its target")
     top = raked.where("tokens > 0").agg(F.max("factor")).first()[0] or 1.0
-    side = raked.select(*[F.col(d).alias(f"~{d}") for d in dims], F.col("factor").alias("mix_weight"))
+    side = raked.select(*[F.col(d).alias(f"~{d}") for d in dims], F.col("factor").alias("mix_weight"), F.lit(float(departure)).alias("mix_departure"))
     side = F.broadcast(side) if raked.count() <= BROADCAST_CELLS else side
     on = [_level(d) == F.col(f"~{d}") for d in dims]
     joined = rows.join(side, on, "left").drop(*[f"~{d}" for d in dims])
@@ -132,8 +145,10 @@ def mix(
     )
 
 
-def sweep_sql(dims: Sequence[str], sweeps: int = SWEEPS) -> str:
-    """SQL for the factors, from ``cells`` (dimensions, tokens) and ``aims`` (dim, level, aim): one step a time."""
+def sweep_sql(dims: Sequence[str], sweeps: int) -> str:
+    """SQL for the factors, from ``cells`` (dimensions, tokens) and ``aims`` (dim, level, aim): one step a time.
+
+    ``sweeps`` must be enough for the factors to settle."""
     steps = ["f0 AS MATERIALIZED (SELECT *, 1.0::DOUBLE AS factor FROM cells)"]
     for i in range(sweeps * len(dims)):
         d = dims[i % len(dims)]
