@@ -2,7 +2,8 @@
 
 The probability of at least grade k is ``sigmoid(w . x - t_k)``: one weight vector shared by all ordered
 thresholds ``t_1 < t_2 < ...``. Scores are the expected grade, the sum of those probabilities. ``x`` has
-log(1 + count) of a document's words and word beginnings that tell grades apart.
+log(1 + count) of a document's words and word beginnings that tell grades apart. A word of more than
+``LONGEST`` characters counts by its beginnings and by numbers of its five-character pieces, each once a word.
 
 Fitting reads labelled rows only: all of them, or a share chosen by hash so that about ``max_rows`` are
 expected. Word and beginning counts of that sample are gathered by a shuffle, at most ``max_features``
@@ -18,6 +19,7 @@ an empty table gives an empty result. Only the named columns are read.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -28,6 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabloom.functions.storage import remove, staged
 from tabloom.llm.batches import add_columns, by_bytes, map_rows
 
 #: Labelled rows to fit on, as expected by the share taken; more labels do not make the model larger.
@@ -42,17 +45,24 @@ LEAST_Z = 2.0
 REJECT_AT = 0.3
 #: Letters of the word beginnings.
 BEGINNINGS = (4, 5, 6)
+#: Characters of the longest word that is a feature itself.
+LONGEST = 40
+#: Characters of the pieces of longer words, and how many numbers pieces have.
+PIECE, PIECES = 5, 1 << 14
 _WORDS = re.compile(r"\w+")
 _MEMORY = 200_000
 
 
 def features(part: str) -> list[str]:
-    """Words of a part of a text, and their beginnings, which carry their length in front."""
+    """Words of a part of a text, and their beginnings, which carry their length in front; pieces of long words."""
     out = []
     for word in _WORDS.findall(part.lower()):
-        if len(word) <= 40:
+        if len(word) <= LONGEST:
             out.append(word)
-            out += [f"{n}:{word[:n]}" for n in BEGINNINGS if len(word) > n]
+        out += [f"{n}:{word[:n]}" for n in BEGINNINGS if len(word) > n]
+        if len(word) > LONGEST:
+            numbers = {zlib.crc32(word[i : i + PIECE].encode()) % PIECES for i in range(len(word) - PIECE + 1)}
+            out += [f"#{n}" for n in sorted(numbers)]
     return out
 
 
@@ -77,7 +87,7 @@ def parts_and_features(column: pa.Array, chosen: dict[str, int], memory: dict[st
         known = memory.get(word)
         if known is None:
             known = tuple(chosen[f] for f in features(word) if f in chosen)
-            if len(word) <= 40:
+            if len(word) <= LONGEST:
                 memory[word] = known
         if known:
             found.append(known)
@@ -153,10 +163,11 @@ def fit(
     penalty: float = 0.5,
 ) -> OrdinalModel:
     """Fit on documents that ``grades`` (key, grade from 0 up) names."""
-    sample = graded_sample(docs, grades, key, text, max_rows)
+    sample = staged(graded_sample(docs, grades, key, text, max_rows), "graded")
     counts = {r["grade"]: r["count"] for r in sample.groupBy("grade").count().collect()}
     top = max(counts, default=0)
     if len(counts) < 2:
+        remove(sample)
         return OrdinalModel({}, [-60.0] * top or [60.0])
     names = _selected(sample, sum(n for g, n in counts.items() if g > 0), counts.get(0, 0), max_features)
     chosen = {n: i for i, n in enumerate(names)}
@@ -176,6 +187,7 @@ def fit(
             )
 
     rows = sample.mapInArrow(run, "grade int, feature array<int>, value array<double>").toArrow()
+    remove(sample)
     grade = rows["grade"].to_numpy().astype(int)
     row = np.repeat(np.arange(len(grade)), pc.list_value_length(rows["feature"]).to_numpy())
     feature, value = (pc.list_flatten(rows[c]).to_numpy() for c in ("feature", "value"))

@@ -56,6 +56,45 @@ def test_ordinal_edges(spark):
     assert ordinal.score_texts(documents(spark, empty=True), ordinal.fit(documents(spark, empty=True), labels)).count() == 0
 
 
+def test_features_are_those_of_a_plain_count():
+    import pyarrow as pa
+    from collections import Counter
+
+    said = ["Ab abc abcd abcde ABCDEFGH", "", "é" * 50 + " tail", "x1" * 30 + "," + "x1" * 30, "a_b-c  d"]
+    chosen = {f: i for i, f in enumerate(sorted({f for t in said for f in ordinal.features(t)}))}
+    rows, feature, count = ordinal.parts_and_features(pa.array(said), chosen, {})
+    found = {(int(r), int(f)): int(n) for r, f, n in zip(rows, feature, count)}
+    assert found == {(i, chosen[f]): n for i, t in enumerate(said) for f, n in Counter(ordinal.features(t)).items()}
+    word = "Vile" + "e" * 60
+    own = ordinal.features(word)
+    assert own[:3] == ["4:vile", "5:vilee", "6:vileee"] and "vile" not in own
+    assert 1 < len(own) - 3 == len(set(own[3:])) <= 6 and set(own[3:]) & set(ordinal.features("e" * 41)[3:])
+
+
+def test_the_fit_is_the_optimum():
+    """The penalised likelihood of 50 texts, against slow ascent on numerical gradients."""
+    rng = np.random.default_rng(7)
+    x = rng.poisson(0.7, (50, 4)).astype(float)
+    score = x @ [1.5, -1.0, 0.5, 0.0] + rng.logistic(size=50)
+    grade = (score > 0.3).astype(int) + (score > 1.8)
+
+    def likelihood(p):
+        at = lambda k: 1 / (1 + np.exp(p[4 + k] - x @ p[:4]))
+        share = np.choose(grade, [1 - at(0), at(0) - at(1), at(1)])
+        return np.log(np.maximum(share, 1e-12)).sum() - 0.25 * (p[:4] ** 2).sum()
+
+    slow, size = np.array([0.0] * 4 + [0.0, 1.0]), 0.1
+    for _ in range(3000):
+        slope = np.array([(likelihood(slow + d) - likelihood(slow - d)) / 2e-6 for d in np.eye(6) * 1e-6])
+        while size > 1e-9 and likelihood(slow + size * slope) < likelihood(slow):
+            size /= 2
+        slow, size = slow + size * slope, size * 1.5
+    row, feature = np.nonzero(x)
+    weights, thresholds = ordinal._optimise(grade, row, feature, x[row, feature], 4, 2, 0.5)
+    found = np.concatenate([weights, thresholds])
+    assert likelihood(found) == pytest.approx(likelihood(slow), abs=1e-2) and found == pytest.approx(slow, abs=0.1)
+
+
 def test_sample_bound(spark):
     rows = graded(spark)
     grades = rows.select(F.col("doc_id").alias("key"), "grade")
@@ -86,6 +125,18 @@ def test_raked_marginals_hold(spark):
     assert shares(kept, "b", "n").values == pytest.approx([0.5, 0.5], abs=0.05)
 
 
+def test_sweeps_go_on_until_targets_hold(spark):
+    """A table whose sweeps settle slowly, and one whose targets contradict each other."""
+    rows = spark.createDataFrame([(1, "p", "x", 20), (2, "p", "y", 1), (3, "q", "x", 1), (4, "q", "y", 20)], "doc_id long, a string, b string, n long")
+    wanted = lambda dim, first, share: spark.createDataFrame([(first, share), (dim, 1 - share)], "level string, share double")
+    mixed = raking.mix(rows, ["a", "b"], tokens="n", targets={"a": wanted("q", "p", 0.7), "b": wanted("y", "x", 0.4)}).toPandas()
+    mixed["w"] = mixed.n * mixed.mix_weight
+    assert shares(mixed, "a", "w").values == pytest.approx([0.7, 0.3], abs=1e-9) and mixed.mix_departure.max() <= raking.TOLERANCE
+    assert shares(mixed, "b", "w").values == pytest.approx([0.4, 0.6], abs=1e-9)
+    with pytest.raises(ValueError, match="no weights meet"):
+        raking.mix(rows.where("doc_id in (1, 4)"), ["a", "b"], tokens="n", targets={"a": wanted("q", "p", 0.7), "b": wanted("y", "x", 0.4)})
+
+
 def test_mix_edges(spark):
     docs = documents(spark).withColumn("mix_tokens", raking.words()).withColumn("mix_topic", raking.form())
     mixed = raking.mix(docs, ["source", "lang", "mix_topic"], tokens="mix_tokens")
