@@ -6,9 +6,9 @@ Every layer is scanned for the base kinds:
 * ``access``: ``AKIA`` and capitals or digits, 16 characters or more together;
 * ``hex``: 32 or more hexadecimal digits.
 
-A layer's runs of URL escapes, Unicode escapes and base64 are decoded into new layers; gzip, zlib, bzip2,
+A layer's runs of URL escapes, Unicode and octal escapes and base64 are decoded into new layers; gzip, zlib, bzip2,
 xz or zstandard data anywhere in the bytes that base64, percent or backslash escapes spell are unpacked, all
-members as one stream. It is scanned in windows of ``UNPACK_BYTES`` that overlap and keep an encoded run whole.
+members as one stream, also where the escapes go on over several lines or quoted literals. It is scanned in windows of ``UNPACK_BYTES`` that overlap and keep an encoded run whole.
 An encoded run longer than a window may hold packed data that is not read to its end: ``n_cut`` counts the
 runs of the text that hold one, and ``redact`` masks them whole. A layer seen before at the same place is not
 taken up again, so texts that decode to themselves end. Each layer keeps, for each of its characters,
@@ -18,7 +18,8 @@ What was unpacked maps to the whole packed run.
 Decoded bytes are scanned whatever else they hold: as UTF-8 where they are, else byte by byte, and ASCII
 in two or four bytes a character (UTF-16, UTF-32) as a layer of its own.
 
-A base64 run goes on over line ends and indentation, also line ends written as ``\n``, and is decoded from
+A base64 run goes on over line ends and indentation, also line ends written as ``\n``, those before ``> `` and
+the quotes of adjoining literals, and is decoded from
 each of its first four characters. So every start in it is tried: what stands before the encoded text
 without a gap, such as a path or the word that ends the line above, does not hide it.
 
@@ -63,15 +64,18 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 _MAY_ASSIGN = r"(?i)(password|passwd|secret|token|api_?key)[\"']? *[:=]"
 _MAY_ACCESS = r"AKIA[A-Z0-9]{12}"
 _MAY_HEX = r"[0-9a-f]{32}"
-_MAY_DECODE = r"%[0-9A-Fa-f]{2}|\\[uUx][0-9A-Fa-f{]|&#[0-9xX]|[A-Za-z0-9+/_-]{16}|[A-Za-z0-9+/_-][ \t]*(?:[\r\n]|\\[rn])|\x00"
+_MAY_DECODE = r"%[0-9A-Fa-f]{2}|\\[uUx][0-9A-Fa-f{]|&#[0-9xX]|[A-Za-z0-9+/_-]{16}|[A-Za-z0-9+/_-][ \t]*(?:[\r\n]|\\[rn])|[A-Za-z0-9+/_-][\"'][ \t]*[+.\\]?[ \t]*[+.bBrRuU]*[\"']|\\[0-7]|\x00"
 
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});")
+_UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|\\(?P<octal>[0-3]?[0-7]{1,2})|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});")
 #: What a base64 run goes on over.
-_BREAK = re.compile(r"[ \t]*+(?:\r\n|\r|\n|\\r\\n|\\n)[ \t]*+")
+_BREAK = re.compile(
+    r"[ \t]*+(?:\r\n|\r|\n|\\r\\n|\\n)[ \t]*+(?:>[ \t]*+)*+"
+    r"|(?:\\r)?(?:\\n)?[\"'][ \t]*+[+.\\]?[ \t]*+(?:\r\n|\r|\n)?[ \t]*+(?:>[ \t]*+)*+[+.]?[ \t]*+[bBrRuU]{0,2}[\"']"
+)
 _BASE64 = re.compile(
-    rf"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{{16,}}+|[A-Za-z0-9+/_-]++(?={_BREAK.pattern}[A-Za-z0-9+/_-]))"
-    rf"(?:{_BREAK.pattern}[A-Za-z0-9+/_-]++)*+={{0,2}}"
+    rf"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{{16,}}+|[A-Za-z0-9+/_-]++(?=(?:{_BREAK.pattern})[A-Za-z0-9+/_-]))"
+    rf"(?:(?:{_BREAK.pattern})[A-Za-z0-9+/_-]++)*+={{0,2}}"
 )
 _LEAST = 16
 #: Bytes of unpacked data that are scanned at a time, those of them scanned again with the next ones, and bytes of one step.
@@ -146,7 +150,7 @@ def _unicode(layer: Layer) -> Layer | None:
         if code is None:
             new = html.unescape(m[0])
         else:
-            number = int(code, 16)
+            number = int(code, 8 if m["octal"] else 16)
             if number > 0x10FFFF:
                 continue
             new = chr(number)
@@ -285,21 +289,54 @@ def _escape(m: re.Match) -> str:
     return chr(int(m[3], 8) if m.re is _BACKSLASH and m[3] else int(next(g for g in m.groups() if g), 16))
 
 
+_LINE = re.compile(r"[^\r\n]+")
+#: What stands between parts of escaped bytes: ends of lines, and ends and beginnings of quoted literals.
+_JOINTS = (
+    re.compile(r"[ \t]*+\\?(?:\r\n|\r|\n)[ \t]*+(?:>[ \t]*+)*+"),
+    re.compile(r"(?<!\\)[\"'][ \t]*+[+.\\]?[ \t]*+(?:\r\n|\r|\n)?[ \t]*+(?:>[ \t]*+)*+[+.]?[ \t]*+[bBrRuU]{0,2}[\"']"),
+)
+
+
+def _spelling(text: str, mark: str) -> Iterator[tuple[str, np.ndarray]]:
+    """Lines that hold a mark, and stretches of them without their joints, with the place of each character and of the end."""
+    stretch: list[re.Match] = []
+    for line in [*_LINE.finditer(text), None] if mark in text else ():
+        if line and mark in line[0]:
+            yield line[0], np.arange(line.start(), line.end() + 1)
+        follows = line and mark in line[0] and (not stretch or len(text[stretch[-1].end() : line.start()]) <= 2)
+        if follows:
+            stretch.append(line)
+            continue
+        if stretch:
+            low, high = stretch[0].start(), stretch[-1].end()
+            for joint in _JOINTS:
+                ranges, at = [], low
+                for m in joint.finditer(text, low, high):
+                    ranges.append((at, m.start()))
+                    at = m.end()
+                if ranges:
+                    ranges.append((at, high))
+                    yield "".join(text[a:b] for a, b in ranges), np.concatenate([*(np.arange(a, b) for a, b in ranges), [high]])
+        stretch = [line] if line and mark in line[0] else []
+
+
 def _raw(layer: Layer, cut: set[tuple[int, int]]) -> Iterator[Packed]:
-    """What is packed in the bytes that percent or backslash escapes of a line spell beside its other characters."""
-    for line in re.finditer(r"[^\r\n]+", layer.text) if "%" in layer.text or "\\" in layer.text else ():
-        for escapes, mark in ((_PERCENT, "%"), (_BACKSLASH, "\\")):
-            if mark not in line[0]:
-                continue
-            spelled = escapes.sub(_escape, line[0])
-            for said in {spelled, escapes.sub(_escape, line[0].replace("+", " ")) if mark == "%" else spelled}:
+    """What is packed in the bytes that percent or backslash escapes spell beside other characters.
+
+    Lines that hold escapes are read each by itself and, with those that follow on them, without the line
+    ends, and without the quotes of adjoining literals, between them.
+    """
+    for escapes, mark in ((_PERCENT, "%"), (_BACKSLASH, "\\")):
+        for text, origin in _spelling(layer.text, mark):
+            spelled = escapes.sub(_escape, text)
+            for said in {spelled, escapes.sub(_escape, text.replace("+", " ")) if mark == "%" else spelled}:
                 data = said.encode("latin-1", "replace")
                 if not _MAGIC.search(data):
                     continue
-                width = np.ones(len(line[0]) + 1, bool)
-                for m in escapes.finditer(line[0]):
+                width = np.ones(len(text) + 1, bool)
+                for m in escapes.finditer(text):
                     width[m.start() + 1 : m.end()] = False
-                places, last = line.start() + np.flatnonzero(width), 0
+                places, last = origin[np.flatnonzero(width)], 0
                 for m in _MAGIC.finditer(data):
                     if m.start() < last:
                         continue
@@ -325,7 +362,7 @@ def _end(data: bytes, at: int) -> int:
 #: A decoded layer that is no readable text is taken up if it holds a base kind's beginning or something to decode.
 _MAY = re.compile(
     rb"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]{12}|[0-9a-f]{32}|%[0-9A-Fa-f]{2}|\\[uUx][0-9A-Fa-f{]|&#[0-9xX]"
-    rb"|[A-Za-z0-9+/_-]{16}|(?:[A-Za-z0-9+/_-]{4,}[ \t]*(?:\r?\n|\\n)[ \t]*){2}|(?:[\x20-\x7e\t\r\n]\x00{1,3}){7}"
+    rb"|\\[0-7]|[A-Za-z0-9+/_-]{16}|(?:[A-Za-z0-9+/_-]{4,}[ \t]*(?:\r?\n|\\n)[ \t]*){2}|(?:[\x20-\x7e\t\r\n]\x00{1,3}){7}"
 )
 _WIDE = re.compile("(?:[^\x00]\x00){7,}[^\x00]?|(?:[^\x00]\x00{3}){7,}[^\x00]?")
 

@@ -173,3 +173,39 @@ def test_runs_cut_are_masked(spark, monkeypatch):
     monkeypatch.setattr(secret_scan, "UNPACK_BYTES", 10_000)
     found, _, cut = secret_scan.decoded_spans(f"x {bomb} y")
     assert {(a, b) for a, _, b in found} == cut == {(2, 2 + len(bomb))}
+
+
+def _decoded(text):
+    return [(secret_scan.KINDS[k], text[a:b]) for a, k, b in secret_scan.scan(text)[1]]
+
+
+def _in_parts(text, size, opened, joint, closed):
+    return opened + joint.join(text[i : i + size] for i in range(0, len(text), size)) + closed
+
+
+@pytest.mark.parametrize("opened, joint, closed", [
+    ("", "\n", ""), ("", "\r\n    ", ""), ("> ", "\n> ", ""), ("> > ", "\n> > ", ""), ('x = "', '" "', '"'), ("x = ('", "'\n     '", "')"),
+    ('b"', '" \\\n  b"', '"'), ('"', '" + "', '"'), ('"', '"\n + "', '"'), ('"', '\\n"\n"', '"'),
+])
+def test_runs_over_lines_and_literals(opened, joint, closed):
+    packed = gzip.compress(b"see password=hunter2hunter2 there", mtime=0)
+    for run in (base64.b64encode(packed).decode(), base64.b64encode(b"see password=hunter2hunter2 there").decode()):
+        text = "before\n\n" + _in_parts(run, 12, opened, joint, closed) + "\n\nafter"
+        found = _decoded(text)
+        assert [k for k, _ in found] == ["assign"], text
+        assert not secret_scan.scan(text)[3]
+
+
+@pytest.mark.parametrize("spell, width", [("\\x{:02x}", 4), ("%{:02X}", 3), ("\\{:03o}", 4)])
+@pytest.mark.parametrize("joint", ["\n", "\n    ", "\\\n", "\n> ", '"\n  "', "' '", '" \\\n b"'])
+def test_packed_escapes_over_lines_and_literals(spell, width, joint):
+    packed = gzip.compress(b"see password=hunter2hunter2 there", mtime=0)
+    text = 'say "' + _in_parts("".join(spell.format(b) for b in packed), width * 10, "", joint, '" end')
+    (kind, run), *rest = _decoded(text)
+    assert kind == "assign" and not rest and run.startswith(spell.format(0x1F)) and len(run) >= width * len(packed)
+
+
+def test_octal_escapes_are_a_layer():
+    said = "".join(f"\\{b:03o}" for b in b"password=hunter2hunter2")
+    assert _decoded(f"printf '{said}'") == [("assign", said)]
+    assert _decoded(r"C:\170\new folder\7") == []
