@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from tabloom.functions.storage import staged
 from tabloom.llm import bpe, catalog, ngram_join, ordinal, raking, secret_scan
 
-#: Targets are the corpus's own shares to this power: nearly as they are, with the largest a little less.
-MIX_POWER = 0.99
+#: Targets are the corpus's own shares to this power, as in op9_mix_sources: the largest levels give way to the small ones.
+MIX_POWER = 0.7
 
 
 #: Columns that stages read. Others are carried along.

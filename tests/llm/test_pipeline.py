@@ -57,3 +57,11 @@ def test_mixing_stays_native(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     plan = cp.mixture(spark, docs, SF).where(F.lit(True))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_mixing_stage_keeps_what_the_query_keeps(spark):
+    """The pipeline mixes to the same tempered targets as op9_mix_sources, not to the corpus as it is."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    staged = {r.doc_id for r in cp.mixture(spark, docs, SF).select("doc_id").collect()}
+    queried = {r.doc_id for r in entry.queries()["op9_mix_sources"](spark, SF).where("kept").select("doc_id").collect()}
+    assert staged == queried and len(staged) < 0.8 * docs.count()
